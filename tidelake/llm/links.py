@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.common import dropped, staged
 
+#: Keys of at most this many rows of a few numbers (some MB) are sent to all tasks.
+SENT_KEYS = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id each node of the edges (a, b) can reach, by large-star and small-star rounds.
@@ -39,6 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def looked_up(table: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """table joined with keys, a staged table; keys go to all tasks where they are few, else both sides are dealt out."""
+    return table.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, on, how)
+
+
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) of all ids that links connect. members: (key, id), the buckets; ids of one bucket may link.
 
@@ -46,14 +54,20 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     inside one connected group already, so no link that would join two groups is missed:
 
     1. In each bucket the smallest id is a hub; each member is verified against it. A bucket of n gives n - 1 pairs.
-    2. A bucket whose members are then in several groups has pairs across groups left. All these have an end outside
-       the bucket's largest group, so just these ends meet the members of other groups.
+       Buckets of two, most of all, are known from their smallest and largest id alone.
+    2. A larger bucket whose members are then in several groups has pairs across groups left. All these have an end
+       outside the bucket's largest group, so just these ends meet the members of other groups.
     """
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").drop("top")
-    crowded = staged(members.join(hubs, "key").select("key", "id", "hub"), "buckets")
-    first = staged(verify(crowded.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "links")
+    buckets = staged(
+        members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n")).where("hub < top"),
+        "buckets",
+    )
+    two = buckets.where("n = 2").select(F.col("hub").alias("a"), F.col("top").alias("b"))
+    larger = staged(looked_up(members, staged(buckets.where("n > 2").select("key", "hub"), "keys"), "key"), "larger")
+    pairs = two.union(larger.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
+    first = staged(verify(pairs), "links")
     groups = staged(components(first), "groups")
-    labelled = crowded.join(groups, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
+    labelled = looked_up(larger, groups, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
     # buckets with one group only are done
     open_keys = (
         labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
@@ -62,11 +76,13 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
     outside = left.join(main, "key").where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), "hub")
-    pairs = (
+    rest = staged(
         outside.join(left.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key")
         .where("cx <> cy AND x <> hub AND y <> hub")  # a hub has been verified against its whole bucket
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+        .distinct(),
+        "pairs",
     )
-    second = verify(pairs)
-    return components(first.union(second))
+    if rest.isEmpty():
+        return groups
+    return components(first.union(verify(rest)))

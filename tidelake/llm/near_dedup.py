@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import map_texts, staged, text_or_empty
-from tidelake.llm.links import linked
+from tidelake.llm.links import linked, looked_up
 from tidelake.llm.shingles import mixed, shingle_sets
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 1024
 SAMPLES = BANDS * ROWS
-#: Ids of at most this many candidates are sent to all tasks when their texts are looked up; above, the tables are joined.
-SENT_IDS = 200_000
 #: Members that meet one copy of a hub's text.
 PER_HUB = 64
 
@@ -180,10 +178,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
             "pairs",
         )
         ids = staged(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "ids")
-        few = ids.count() <= SENT_IDS
-        wanted = staged(
-            texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), "texts"
-        )
+        wanted = staged(looked_up(texts, ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
         return _confirmed(close, wanted, percent)
 
     members = heads.select(F.explode("bands").alias("key"), "id")

@@ -14,7 +14,8 @@ ids); scoring covers every whole text in the executors.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import map_texts
@@ -157,3 +158,13 @@ def scored(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_texts(docs, id_col, text_col, rows, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def score_of(model: PuModel, text: Column) -> Column:
+    """The score as a column, for filters that keep all other columns without a join."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([features(bytes(t)) for t in texts])) if len(texts) else [], dtype="float64")
+
+    return score(F.coalesce(text, F.lit("")).cast("binary"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tidelake.llm import language_id, quality, token_store
 from tidelake.llm.common import crc_mod, new_path, table
+from tidelake.llm.decontaminate import contaminated
 from tidelake.llm.exact_dedup import exact_dedup
 from tidelake.llm.license_scan import license_scan
+from tidelake.llm.line_dedup import line_dedup
 from tidelake.llm.near_dedup import near_dedup
 from tidelake.llm.piece_ops import round_trip
 from tidelake.llm.token_counts import length_histogram, token_lengths
@@ -22,6 +24,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_kept", "n_dropped", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -41,6 +49,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(docs, tokenizer_path("word_bpe_49k.json")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.PuModel:
     """Positives: training rows of quality 1. Unlabelled: all documents, whose labels are not looked at."""
     train = labels.where((crc_mod("doc_id", 4) != 2) & (F.col("quality") == 1)).select("doc_id")
@@ -78,10 +90,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
     "op3_license_scan": op3_license_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
