@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import dropped, staged
@@ -47,16 +47,23 @@ def looked_up(table: DataFrame, keys: DataFrame, on: str, how: str = "inner") ->
     return table.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, on, how)
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    extras: DataFrame,
+    near: Callable[[str, str], Column],
+) -> DataFrame:
     """(id, component) of all ids that links connect. members: (key, id), the buckets; ids of one bucket may link.
 
-    ``verify`` takes pairs (a, b) and returns those that are links. Every pair of a bucket is either verified or lies
+    ``extras`` has columns for each id by which ``near``, given the prefixes of the two sides' columns, tells cheaply
+    which pairs can't be links (it may look at the column "key"). ``verify`` takes pairs (a, b) and returns those that are links. Every pair of a bucket is either verified or lies
     inside one connected group already, so no link that would join two groups is missed:
 
     1. In each bucket the smallest id is a hub; each member is verified against it. A bucket of n gives n - 1 pairs.
        Buckets of two, most of all, are known from their smallest and largest id alone.
     2. A larger bucket whose members are then in several groups has pairs across groups left. All these have an end
-       outside the bucket's largest group, so just these ends meet the members of other groups.
+       outside the bucket's largest group, so just these ends meet the members of other groups, and the join itself
+       only lets near pairs out.
     """
     buckets = staged(
         members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n")).where("hub < top"),
@@ -75,12 +82,14 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     left = staged(labelled.join(open_keys, "key", "left_semi"), "open")
     sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-    outside = left.join(main, "key").where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), "hub")
+    sides = staged(left.join(extras, "id"), "sides")
+    names = [c for c in sides.columns if c != "key"]
+    x = sides.join(main, "key").where("component <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = sides.select(F.col("key").alias("y_key"), *(F.col(c).alias(f"y_{c}") for c in names))
+    # a hub has been verified against its whole bucket
+    cross = F.expr("key = y_key AND x_component <> y_component AND x_id <> x_hub AND y_id <> x_hub")
     rest = staged(
-        outside.join(left.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key")
-        .where("cx <> cy AND x <> hub AND y <> hub")  # a hub has been verified against its whole bucket
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct(),
+        x.join(y, cross & near("x_", "y_")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(),
         "pairs",
     )
     if rest.isEmpty():

@@ -1,30 +1,31 @@
 """MinHash near-dedup with odd sketches.
 
-A document's 5-word shingle set gives ``BANDS * ROWS`` MinHash samples. Bands of ROWS samples are the buckets in which
-documents meet. All samples together are folded into an odd sketch: each sample toggles one bit of a bitmap, so equal
+A document's 5-word shingle set gives SAMPLES MinHash samples. The first ``BANDS * ROWS`` of them make bands, the buckets
+in which documents meet. All samples together are folded into an odd sketch: each sample toggles one bit of a bitmap, so equal
 samples of two documents cancel in the XOR of their sketches, and its population count estimates a high similarity
 precisely. Pairs whose estimate lies far below the threshold go; the others are confirmed on their full shingle sets.
 
-At the threshold of 0.85 a pair shares no band with a chance of (1 - 0.85^4)^32 < 1e-10. The estimate is cut at six
-of its standard deviations. Documents with equal sets are one class, represented by its smallest id, before all that.
+At the threshold of 0.85 a pair shares no band with a chance of (1 - 0.85^4)^32 < 1e-10. The estimate is cut at 5.5
+of its standard deviations (about 0.76). Documents with equal sets are one class, represented by its smallest id, before all that.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import map_texts, staged, text_or_empty
 from tidelake.llm.links import linked, looked_up
 from tidelake.llm.shingles import mixed, shingle_sets
 
-BANDS, ROWS, SKETCH_BITS = 32, 4, 1024
-SAMPLES = BANDS * ROWS
+BANDS, ROWS = 32, 4
+SAMPLES, SKETCH_BITS = 512, 2048
 #: Members that meet one copy of a hub's text.
 PER_HUB = 64
 
@@ -60,16 +61,21 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     """(n, BANDS) keys; a key holds its band's number."""
     keys = np.zeros((len(samples), BANDS), np.uint64)
     for r in range(ROWS):
-        keys = mixed(keys + samples[:, r::ROWS])
+        keys = mixed(keys + samples[:, r : BANDS * ROWS : ROWS])
     return mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
 
 def most_odd_bits(percent: int) -> int:
-    """The population count of the XOR that a pair at the threshold exceeds with a chance below 1e-8."""
+    """The population count of the XOR that a pair at the threshold exceeds with a chance below 1e-7.
+
+    Of SAMPLES samples a binomial number differs, each difference toggles two bits, and bits that meet cancel.
+    """
     j = percent / 100
-    different = 2 * SAMPLES * min(1.0, 1 - j + 6 * np.sqrt(j * (1 - j) / SAMPLES))
-    mean = SKETCH_BITS / 2 * (1 - np.exp(-2 * different / SKETCH_BITS))
-    return int(np.ceil(mean + 6 * np.sqrt(mean) / 2))
+    toggled = 2 * SAMPLES * (1 - j)
+    mean = SKETCH_BITS / 2 * (1 - math.exp(-2 * toggled / SKETCH_BITS))
+    from_samples = 2 * math.sqrt(SAMPLES * j * (1 - j)) * math.exp(-2 * toggled / SKETCH_BITS)
+    from_bits = math.sqrt(max(0.0, SKETCH_BITS / 4 * (1 - math.exp(-4 * toggled / SKETCH_BITS)) - toggled * math.exp(-4 * toggled / SKETCH_BITS)))
+    return math.ceil(mean + 5.5 * math.hypot(from_samples, from_bits))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -182,7 +188,15 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
         return _confirmed(close, wanted, percent)
 
     members = heads.select(F.explode("bands").alias("key"), "id")
-    groups = linked(members, verify)
+
+
+    def near(x: str, y: str) -> Column:
+        """Sketches close enough, and only in the first bucket that the two share."""
+        a, b = F.col(f"{x}bands"), F.col(f"{y}bands")
+        first = F.coalesce(*(F.when(a[k] == b[k], a[k]) for k in range(BANDS)))
+        return (_odd_bits(f"{x}sketch", f"{y}sketch") <= most) & (first == F.col("key"))
+
+    groups = linked(members, verify, heads, near)
     answers = classes.join(groups, classes.rep == groups.id, "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
