@@ -5,10 +5,10 @@ chunks wherever they stand. A chunk is named by the SHA-256 of its ids and store
 names of its chunks in order. The store is a folder of Parquet tables:
 
     chunks/    digest binary, n_ids int, payload binary (zstd of little-endian ids, 16 bits wide where all fit)
-    recipes/   doc_id, start (ids of all documents before it), n_tokens, chunks array<binary>, root binary;
+    recipes/   doc_id, start (ids of all documents before it), n_tokens, chunks array<binary>, root string;
                files hold ascending ranges of doc_id and are sorted by it
-    manifest/  kind, part, n_rows, n_ids, root binary: for each part the Merkle root over its rows' names, in order, and
-               for each kind the root over its parts
+    manifest/  kind, part, n_rows, n_ids, root string: a Merkle tree of three levels above the chunks; a recipe's root is
+               the SHA-256 of its chunks' names, a part's that of its rows' roots in order, the top's (part -1) of its parts'
 
 Reading checks every payload against its name, and the recipes and manifests against their roots. The checksum of a
 document is put together from its chunks' checksums (crc32 of a joined string follows from the parts' and their
@@ -21,16 +21,19 @@ import hashlib
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import map_texts, staged
+from tidelake.llm.common import dropped, map_texts, staged
 from tidelake.llm.tokenizers_io import encoder
 
-WINDOW, MASK, LONGEST = 16, 255, 2048
+WINDOW, MASK, LONGEST = 16, 1023, 8192
+#: At most this many chunks that other tasks hold too are looked up from every task; above, the tables are joined.
+SENT_CHUNKS = 200_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -68,12 +71,8 @@ def unpacked(payload: bytes, decompress: Callable[[bytes], bytes]) -> bytes:
     return data if payload[:1] == b"4" else np.frombuffer(data, "<u2").astype("<u4").tobytes()
 
 
-def merkle_root(names: list[bytes]) -> bytes:
-    level = [hashlib.sha256(b"\0" + x).digest() for x in names] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        pairs = [hashlib.sha256(b"\1" + a + b).digest() for a, b in zip(level[::2], level[1::2], strict=False)]
-        level = pairs + level[len(level) // 2 * 2 :]
-    return level[0]
+def recipe_root(names: list[bytes]) -> str:
+    return hashlib.sha256("".join(x.hex().upper() for x in names).encode()).hexdigest()
 
 
 def _times(matrix: list[int], vector: int) -> int:
@@ -130,20 +129,22 @@ def crc_join() -> CrcJoin:
 
 
 def _chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, chunks array<struct<digest, n_ids, payload>>); a task gives a payload only where it is new to it."""
+    """(id, row, n_tokens, digests, sizes, payloads): row is unique; a payload is null where its task gave it before."""
 
     def rows():
         import zstandard
+        from pyspark import TaskContext
 
         encode, compress = encoder(path).ids, zstandard.ZstdCompressor(level=1).compress
         last, seen = np.array([end_id], "<u4").tobytes(), set()
+        row = count(TaskContext.get().partitionId() << 33)
 
         def of(ids, texts):
-            counts, chunks = [], []
+            out = {"id": ids, "row": [next(row) for _ in ids], "n_tokens": [], "digests": [], "sizes": [], "payloads": []}
             for t in texts:
                 data = encode(t) + last
                 array = np.frombuffer(data, "<u4")
-                at, recipe = 0, []
+                at, digests, sizes, payloads = 0, [], [], []
                 for end in cuts(array):
                     digest = hashlib.sha256(data[4 * at : 4 * end]).digest()
                     new = digest not in seen
@@ -151,17 +152,20 @@ def _chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(digest)
-                    payload = packed(array[at:end], compress) if new else None
-                    recipe.append({"digest": digest, "n_ids": end - at, "payload": payload})
+                    digests.append(digest)
+                    sizes.append(end - at)
+                    payloads.append(packed(array[at:end], compress) if new else None)
                     at = end
-                counts.append(len(array))
-                chunks.append(recipe)
-            return {"id": ids, "n_tokens": counts, "chunks": chunks}
+                out["n_tokens"].append(len(array))
+                out["digests"].append(digests)
+                out["sizes"].append(sizes)
+                out["payloads"].append(payloads)
+            return out
 
         return of
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, chunks array<struct<digest: binary, n_ids: int, payload: binary>>"
+    schema = f"id {kind}, row long, n_tokens long, digests array<binary>, sizes array<int>, payloads array<binary>"
     return map_texts(docs, id_col, text_col, rows, schema)
 
 
@@ -175,94 +179,74 @@ def write_store(
     """
     spark = docs.sparkSession
     encoded = staged(_chunked(docs, path, end_id, id_col, text_col), "encoded")
+    given = encoded.select("row", F.posexplode(F.transform("payloads", lambda p: p.isNotNull())).alias("at", "new"), "digests")
+    given = given.where("new").select("row", "at", F.get("digests", F.col("at")).alias("digest"))
+    # a chunk that several tasks gave is stored from the first; only the others' places are moved, no payloads
+    owners = given.groupBy("digest").agg(F.min(F.struct("row", "at")).alias("own"), F.count("*").alias("n")).where("n > 1")
+    again = staged(given.join(owners, "digest").where("row <> own.row OR at <> own.at").select("row", "at"), "again")
+    few = again.count() <= SENT_CHUNKS
     (
-        encoded.select(F.explode("chunks").alias("c"))
-        .select("c.*")
-        .where(F.col("payload").isNotNull())
-        .groupBy("digest", "n_ids")
-        .agg(F.min("payload").alias("payload"))
+        encoded.select("row", F.posexplode(F.arrays_zip("digests", "sizes", "payloads")).alias("at", "c"))
+        .where("c.payloads IS NOT NULL")
+        .join(F.broadcast(again) if few else again, ["row", "at"], "left_anti")
+        .select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n_ids"), F.col("c.payloads").alias("payload"))
         .write.option("compression", "none")
         .parquet(f"{folder}/chunks")
     )
-    ranged = encoded.select(
-        F.col("id").alias("doc_id"), "n_tokens", F.col("chunks.digest").alias("chunks")
-    ).repartitionByRange("doc_id")
+    ranged = encoded.select(F.col("id").alias("doc_id"), "row", "n_tokens", F.col("digests").alias("chunks"))
     ordered = staged(
-        ranged.sortWithinPartitions("doc_id", "n_tokens", "chunks").select("*", F.spark_partition_id().alias("part")),
+        ranged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "row").select("*", F.spark_partition_id().alias("part")),
         "ordered",
     )
+    dropped(encoded, again)
     # a row for each part of the range partitioning, not for each document, decides where the parts start
     parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     offsets = parts.select(
         "part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base")
     )
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "chunks").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     (
         ordered.join(offsets, "part")
         .withColumn("start", F.col("base") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-        .withColumn("root", _root("chunks"))
+        .withColumn("root", F.sha2(F.array_join(F.transform("chunks", F.hex), ""), 256))
         .select("doc_id", "start", "n_tokens", "chunks", "root", "part")
-        .sortWithinPartitions("part", "doc_id", "start")
+        .sortWithinPartitions("part", "start")
         .write.parquet(f"{folder}/recipes")
     )
+    dropped(ordered)
     _manifest(spark, folder).write.parquet(f"{folder}/manifest")
 
 
-def _root(column: str):
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("binary")
-    def root(names):
-        return names.map(lambda x: merkle_root([bytes(y) for y in x]))
-
-    return root(F.col(column))
-
-
 def _manifest(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each part of the recipes and of the chunks, and one for the top of either."""
-    import pandas as pd
-
-    def rooted(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("order")
-        return pd.DataFrame(
-            {
-                "kind": group.kind.iloc[:1],
-                "part": group.part.iloc[:1],
-                "n_rows": [int(group.n_rows.sum())],
-                "n_ids": [int(group.n_ids.sum())],
-                "root": [merkle_root([bytes(x) for x in group.name])],
-            }
-        )
-
-    schema = "kind string, part long, n_rows long, n_ids long, root binary"
     # names meet in parts of a few thousand rows whatever the store's size, then the parts' roots in the top
-    stored = spark.read.parquet(f"{folder}/chunks")
+    stored = spark.read.parquet(f"{folder}/chunks").select("digest", "n_ids")
     digits = max(1, math.ceil(math.log(max(1, stored.count()) / 4096, 16)))
     recipes = spark.read.parquet(f"{folder}/recipes").select(
         F.lit("recipes").alias("kind"),
         F.floor(F.col("start") / 4_000_000).alias("part"),
+        F.col("start").alias("at"),
         F.col("root").alias("name"),
-        F.lpad(F.col("start").cast("string"), 20, "0").alias("order"),
-        F.col("n_tokens").alias("n_ids"),
-        F.lit(1).cast("long").alias("n_rows"),
+        F.col("n_tokens").alias("n"),
     )
+    name = F.hex("digest")
     chunks = stored.select(
         F.lit("chunks").alias("kind"),
-        F.conv(F.substring(F.hex("digest"), 1, digits), 16, 10).cast("long").alias("part"),
-        F.col("digest").alias("name"),
-        F.hex("digest").alias("order"),
-        F.col("n_ids").cast("long").alias("n_ids"),
-        F.lit(1).cast("long").alias("n_rows"),
-    )
-    parts = staged(recipes.unionByName(chunks).groupBy("kind", "part").applyInPandas(rooted, schema), "roots")
-    tops = (
-        parts.withColumn("order", F.lpad(F.col("part").cast("string"), 20, "0"))
-        .withColumn("part", F.lit(-1).cast("long"))
-        .withColumnRenamed("root", "name")
-        .groupBy("kind", "part")
-        .applyInPandas(rooted, schema)
+        F.conv(F.substring(name, 1, digits), 16, 10).cast("long").alias("part"),
+        F.lit(0).cast("long").alias("at"),
+        name.alias("name"),
+        F.col("n_ids").cast("long").alias("n"),
     )
-    return parts.unionByName(tops)
+
+    def rooted(rows: DataFrame, n_rows: Column) -> DataFrame:
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"])
+        return rows.groupBy("kind", "part").agg(
+            n_rows.alias("n_rows"), F.sum("n").alias("n_ids"), F.sha2(F.array_join(in_order, ""), 256).alias("root")
+        )
+
+    parts = staged(rooted(recipes.unionByName(chunks), F.count("*")), "roots")
+    tops = parts.select("kind", F.lit(-1).cast("long").alias("part"), F.col("part").alias("at"), F.col("root").alias("name"), F.col("n_ids").alias("n"), "n_rows")
+    return parts.unionByName(rooted(tops, F.sum("n_rows")))
 
 
 def chunk_sums(spark: SparkSession, folder: str) -> DataFrame:
@@ -296,7 +280,7 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
             sums = []
             for n, names, root, parts in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 parts = sorted((p["at"], p["crc"], p["n_ids"]) for p in parts)
-                if len(parts) != len(names) or sum(p[2] for p in parts) != n or merkle_root(names) != root:
+                if len(parts) != len(names) or sum(p[2] for p in parts) != n or recipe_root(names) != root:
                     raise ValueError("a recipe doesn't match the store")
                 sums.append(crc.joined([(c, 4 * k) for _, c, k in parts]))
             out = [batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())]
