@@ -49,14 +49,15 @@ def looked_up(table: DataFrame, keys: DataFrame, on: str, how: str = "inner") ->
 
 def linked(
     members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, bool], DataFrame],
     extras: DataFrame,
     near: Callable[[str, str], Column],
 ) -> DataFrame:
     """(id, component) of all ids that links connect. members: (key, id), the buckets; ids of one bucket may link.
 
     ``extras`` has columns for each id by which ``near``, given the prefixes of the two sides' columns, tells cheaply
-    which pairs can't be links (it may look at the column "key"). ``verify`` takes pairs (a, b) and returns those that are links. Every pair of a bucket is either verified or lies
+    which pairs can't be links (it may look at the column "key"). ``verify`` takes pairs (a, b), and whether they were
+    found near already, and returns those that are links. Every pair of a bucket is either verified or lies
     inside one connected group already, so no link that would join two groups is missed:
 
     1. In each bucket the smallest id is a hub; each member is verified against it. A bucket of n gives n - 1 pairs.
@@ -72,7 +73,7 @@ def linked(
     two = buckets.where("n = 2").select(F.col("hub").alias("a"), F.col("top").alias("b"))
     larger = staged(looked_up(members, staged(buckets.where("n > 2").select("key", "hub"), "keys"), "key"), "larger")
     pairs = two.union(larger.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
-    first = staged(verify(pairs), "links")
+    first = staged(verify(pairs, False), "links")
     groups = staged(components(first), "groups")
     labelled = looked_up(larger, groups, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
     # buckets with one group only are done
@@ -94,4 +95,4 @@ def linked(
     )
     if rest.isEmpty():
         return groups
-    return components(first.union(verify(rest)))
+    return components(first.union(verify(rest, True)))

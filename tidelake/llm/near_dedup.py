@@ -6,7 +6,7 @@ samples of two documents cancel in the XOR of their sketches, and its population
 precisely. Pairs whose estimate lies far below the threshold go; the others are confirmed on their full shingle sets.
 
 At the threshold of 0.85 a pair shares no band with a chance of (1 - 0.85^4)^32 < 1e-10. The estimate is cut at 5.5
-of its standard deviations (about 0.76). Documents with equal sets are one class, represented by its smallest id, before all that.
+of its standard deviations (about 0.79). Documents with equal sets are one class, represented by its smallest id, before all that.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tidelake.llm.links import linked, looked_up
 from tidelake.llm.shingles import mixed, shingle_sets
 
 BANDS, ROWS = 32, 4
-SAMPLES, SKETCH_BITS = 512, 2048
+SAMPLES, SKETCH_BITS = 1024, 4096
 #: Members that meet one copy of a hub's text.
 PER_HUB = 64
 
@@ -174,9 +174,9 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     most = most_odd_bits(percent)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, near_already: bool) -> DataFrame:
         sketch = heads.select("id", "sketch")
-        close = staged(
+        close = pairs if near_already else staged(
             pairs.join(sketch.toDF("a", "sa"), "a")
             .join(sketch.toDF("b", "sb"), "b")
             .where(_odd_bits("sa", "sb") <= most)
