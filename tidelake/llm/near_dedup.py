@@ -88,9 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = shingle_sets(texts[at : at + 100])
                 full = [s for s in sets if len(s)]
                 samples = signatures(full) if full else np.zeros((0, SAMPLES), np.uint64)
-                bands, sketches = band_keys(samples).tolist(), odd_sketches(samples).reshape(len(full), -1, 8)
-                words = sketches.reshape(len(full), -1).view("<i8").tolist() if full else []
-                found = iter(zip(bands, words, strict=True))
+                found = iter(zip(band_keys(samples).tolist(), odd_sketches(samples).view("<i8").tolist(), strict=True))
                 for s in sets:
                     out["n_shingles"].append(len(s))
                     b, w = next(found) if len(s) else (None, None)
