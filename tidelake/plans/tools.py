@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tidelake.operators import stats
 from tidelake.sources import files, manifests, puffin
-from tidelake.sources.metadata import GREENPLUM, TableMetadata
+from tidelake.sources.metadata import POSTGRES, TableMetadata
 from tidelake.sources.table import Table
 
 
-def describe(table: Table, greenplum: bool = False) -> list[tuple[str, str, bool]]:
-    """(name, type, required) of each column, by the table's names for types or Greenplum's."""
-    name = lambda t: GREENPLUM.get(t, "numeric" + t[7:] if str(t).startswith("decimal") else str(t)) if greenplum else str(t)
+def describe(table: Table, postgres: bool = False) -> list[tuple[str, str, bool]]:
+    """(name, type, required) of each column, by the table's names for types or PostgreSQL's."""
+    name = lambda t: POSTGRES.get(t, "numeric" + t[7:] if str(t).startswith("decimal") else str(t)) if postgres else str(t)
     return [(f["name"], name(f["type"]), f["required"]) for f in table.meta.schema_fields()]
 
 

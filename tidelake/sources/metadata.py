@@ -20,8 +20,8 @@ PRIMITIVES: dict[str, T.DataType] = {
     "timestamptz": T.TimestampType(), "timestamp_ns": T.LongType(), "timestamptz_ns": T.LongType(),
     "string": T.StringType(), "uuid": T.BinaryType(), "binary": T.BinaryType(),
 }
-#: The same types as Greenplum names them.
-GREENPLUM = {
+#: The same types as PostgreSQL names them.
+POSTGRES = {
     "boolean": "bool", "int": "int4", "long": "int8", "float": "float4", "double": "float8", "date": "date",
     "time": "time", "timestamp": "timestamp", "timestamptz": "timestamptz", "string": "text", "uuid": "uuid",
     "binary": "bytea",
