@@ -26,7 +26,7 @@ _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 class PieceCodec:
     """Reads a sentencepiece BPE model with byte fallback, the identity normaliser and a dummy prefix."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 250_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -145,7 +145,7 @@ class PieceCodec:
         """
         key = a << 20 | b
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 600_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             known = self.pairs[key] = self._replayed(a, b)
         return known

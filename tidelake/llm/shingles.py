@@ -27,27 +27,41 @@ _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _TABLES = [_powers(_ODD, 1 << 16), _powers(_INVERSE, 1 << 16)]
 
 
+#: Bytes hashed at a time, cut at a space; the tables of powers get no longer than this or the longest word.
+STRETCH = 1 << 20
+
+
 def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts one after the other, and each text's number of words.
 
-    A word's hash is the value of its bytes as a polynomial, from prefix sums over the batch, then mixed with its
-    length.
+    A word's hash is the value of its bytes as a polynomial, from prefix sums, then mixed with its length.
     """
-    data = np.frombuffer((b" ".join(texts) + b" ").translate(table), np.uint8)
+    data, at, hashes, places = (b" ".join(texts) + b" ").translate(table), 0, [], []
+    while at < len(data):
+        end = min(len(data), at + STRETCH)
+        if end < len(data):
+            end = (data.rfind(b" ", at, end) + 1) or data.index(b" ", end) + 1
+        starts, found = _hashed(np.frombuffer(data, np.uint8, end - at, at))
+        places.append(starts + at)
+        hashes.append(found)
+        at = end
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    until = np.searchsorted(np.concatenate(places), bounds)
+    return np.concatenate(hashes), np.diff(until, prepend=0)
+
+
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of bytes that end with a space."""
     while len(_TABLES[0]) < len(data):
-        n = len(_TABLES[0])
         for k in (0, 1):
             further = _TABLES[k][-1:] * (_ODD, _INVERSE)[k]
             _TABLES[k] = np.concatenate([_TABLES[k], _TABLES[k] * further])
     letters = data != 32
-    edges = np.flatnonzero(np.diff(letters, prepend=False))  # starts and ends in turn; the data ends with a space
+    edges = np.flatnonzero(np.diff(letters, prepend=False))  # starts and ends in turn
     starts, ends = edges[::2], edges[1::2]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * _TABLES[0][: len(data)], dtype=np.uint64)])
     hashes = (sums[ends] - sums[starts]) * _TABLES[1][starts]
-    hashes = mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    until = np.searchsorted(starts, bounds)
-    return hashes, np.diff(until, prepend=0)
+    return starts, mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(words: np.ndarray, size: int = SIZE) -> np.ndarray:
