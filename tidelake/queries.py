@@ -159,7 +159,7 @@ project_query(
     {
         "u_add": "((o_orderkey::HUGEINT + 9223372036854775808 + 9223372036854775808) % 18446744073709551616 - 9223372036854775808)::BIGINT",
         "u_mul": "((o_orderkey % 4) * 4611686018427387904::HUGEINT - CASE WHEN o_orderkey % 4 >= 2 THEN 18446744073709551616 ELSE 0 END)::BIGINT",
-        "u_sub": "(9223372036854775808::HUGEINT - o_orderkey)::BIGINT",
+        "u_sub": "(CASE WHEN o_orderkey = 0 THEN -9223372036854775808 ELSE 9223372036854775808::HUGEINT - o_orderkey END)::BIGINT",
         "u_div": "o_orderkey // 7",
     },
 )
