@@ -1,6 +1,7 @@
 """Codecs, counts, scans, decontamination and models against libraries and plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -222,3 +223,28 @@ def test_gru_gradient():
         down = loss()
         g.p[name][at] = kept
         assert abs((up - down) / (2 * step) - grads[name][at]) < 0.05
+
+
+def edits_of(words, places):
+    """The words with every kind of edit at the places: another word, a word more, a word less."""
+    for kinds in itertools.product("cid", repeat=len(places)):
+        out = list(words)
+        for at, kind in sorted(zip(places, kinds, strict=True), reverse=True):
+            out[at : at + (kind != "i")] = [] if kind == "d" else [b"new%d" % at]
+        yield out
+
+
+def test_decontamination_finds_every_edit_that_stays_similar():
+    for n in [1, 4, 5, *range(13, 46, 3), 16, 22, 37, 90]:
+        words = [b"w%dx" % i for i in range(n)]
+        index = ItemIndex([(1, b" ".join(words))], 0.8)
+        texts = []
+        spots = [(a,) for a in range(n)] + [(a, b) for a in range(n) for b in range(a + 1, n) if (a * 7 + b) % 29 == 0 or (a < 3 and b > n - 4)]
+        for places in spots:
+            texts += [[b"junk"] * 9 + x + [b"more"] * 9 for x in edits_of(words, places)]
+        if n > 40:  # words in a row that move the rest by more than a few places
+            texts += [[b"junk"] * 9 + words[:at] + [b"in"] * k + words[at:] for at in range(n) for k in (3, 5, 7)]
+        want = [any(index.similar(x, s, 0) >= 0.8 for s in range(60)) for x in texts]
+        got = [0 in x for x in index.search([b" ".join(x) for x in texts])]
+        assert got == want, n
+        assert any(want) or n < 13

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, weighted-shingle check.
+"""Benchmark decontamination: SimHash of word windows, multi-index Hamming lookup, weighted-shingle check.
 
-Every benchmark item gives windows of its own words: its head and its tail in the largest of a few geometric window
-sizes that fits, and further windows of half the size where an item is long enough to survive a changed word at the
-similarity asked for. Documents are read once; at every word, the SimHash of the window of each size in use is
-computed from running sums of word-hash bits. Fingerprints are cut into RADIUS + 1 blocks; a window whose distance to
-an item's is at most RADIUS has a block in common with it, so looking up all blocks finds every such pair. A candidate
-is settled on the words themselves: the weighted Jaccard similarity of 5-word shingles of the item and of the stretch
-of the document it would cover, a shingle's weight being its inverse document frequency in the benchmark.
+Every benchmark item gives windows of SIZE of its own words, as long as a shingle: so many, the heaviest first, that
+what is left of its weight is less than the similarity asked for. A stretch that reaches the similarity shares at least
+one of them, whatever the edits are. Documents are read once; at every word, the SimHash of the window is computed from
+running sums of word-hash bits. Fingerprints are cut into RADIUS + 1 blocks; a window whose distance to an item's is at
+most RADIUS has a block in common with it, so looking up all blocks finds every such pair. A candidate is settled on
+the words themselves: the weighted Jaccard similarity of 5-word shingles of the item and of any stretch of its length
+around the window, a shingle's weight being its inverse document frequency in the benchmark.
 
 The benchmark is the query set: it is taken in blocks of ``BLOCK`` items, each of which goes to all tasks.
 """
@@ -26,26 +26,6 @@ from tidelake.llm.shingles import SIZE, word_hashes
 RADIUS, BLOCKS, BLOCK = 3, 4, 5000
 #: Words whose window sums are held at a time; 64 bytes each.
 STRETCH = 4096
-#: Starts tried around the one a window points to, for a word more or less before it.
-SLACK = (0, -1, 1, -2, 2)
-
-
-def window_size(n: int) -> int:
-    """The largest size in use that is at most n: all up to 8, then steps of about a fifth; counters hold 255 words."""
-    size = step = min(n, 8)
-    while step <= min(n, 240):
-        size, step = step, max(step + 1, step * 6 // 5)
-    return size
-
-
-def anchors(n: int) -> set[tuple[int, int]]:
-    """(offset, size) of the windows of an item of n words."""
-    out, sizes = set(), [window_size(n)]
-    while sizes[-1] >= 40:
-        sizes.append(window_size(sizes[-1] // 2))
-    for size in sizes:
-        out |= {(at, size) for at in [*range(0, n - size, size), n - size]} if size < sizes[0] or n > 240 else {(0, size), (n - size, size)}
-    return out
 
 
 def window_prints(words: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
@@ -85,25 +65,33 @@ class ItemIndex:
         n = len(self.items)
         self.weight = {s: math.log(1 + n / k) for s, k in df.items()}
         self.unknown = math.log(1 + n) if n else 1.0
+        self.totals = [sum(self.weight[s] * k for s, k in x.items()) for x in self.shingles]
         entries: dict[int, list[tuple[int, int, int]]] = {}
         for k, (_, words) in enumerate(self.items):
             hashes, _ = word_hashes([b" ".join(words)], WORDS_ONLY)
-            for at, size in anchors(len(words)):
-                print_ = int(window_prints(hashes[at : at + size], [size])[size][0])
-                entries.setdefault(size, []).append((print_, k, at))
+            size = min(len(words), SIZE)
+            prints = window_prints(hashes, [size])[size]
+            for at in self.anchors(k):
+                entries.setdefault(size, []).append((int(prints[at]), k, at))
         self.sizes = sorted(entries)
         self.tables = {}
         for size, rows in entries.items():
             prints = np.array([r[0] for r in rows], np.uint64)
             blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-            hit = np.zeros((BLOCKS, 1 << 16), bool)
-            for b in range(BLOCKS):
-                hit[b, blocks[:, b]] = True
-            by_block = [{} for _ in range(BLOCKS)]
-            for b in range(BLOCKS):
-                for r, value in enumerate(blocks[:, b].tolist()):
-                    by_block[b].setdefault(value, []).append(r)
-            self.tables[size] = (prints, hit, [{v: np.array(r) for v, r in x.items()} for x in by_block], rows)
+            orders = [np.argsort(blocks[:, b], kind="stable") for b in range(BLOCKS)]
+            ends = [np.cumsum(np.bincount(blocks[:, b], minlength=1 << 16)) for b in range(BLOCKS)]
+            self.tables[size] = (prints, orders, ends, rows)
+
+    def anchors(self, item: int) -> list[int]:
+        """Places of the shingles without which no stretch reaches the similarity; of equal weights the longest first."""
+        shingles, out, gone = self.shingles[item], [], 0.0
+        first = {s: at for at, s in reversed([*enumerate(self._shingles(self.items[item][1]))])}
+        for s in sorted(shingles, key=lambda s: (-self.weight[s], -sum(map(len, s)), s)):
+            out.append(first[s])
+            gone += self.weight[s] * shingles[s]
+            if gone > (1 - self.similarity + 1e-9) * self.totals[item]:
+                break
+        return out
 
     @staticmethod
     def _shingles(words: list[bytes]) -> list[tuple[bytes, ...]]:
@@ -111,16 +99,20 @@ class ItemIndex:
 
     def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of windows and the entries within RADIUS of them: exactly all such pairs."""
-        known, hit, by_block, _ = self.tables[size]
+        known, orders, ends, _ = self.tables[size]
         blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
         places, entries = [], []
         for b in range(BLOCKS):
-            for at in np.flatnonzero(hit[b][blocks[:, b]]).tolist():
-                rows = by_block[b][int(blocks[at, b])]
-                near = rows[np.bitwise_count(known[rows] ^ prints[at]) <= RADIUS]
-                places.extend([at] * len(near))
-                entries.extend(near.tolist())
-        return np.array(places, np.int64), np.array(entries, np.int64)
+            counts = np.diff(ends[b], prepend=0)[blocks[:, b]]
+            at = np.flatnonzero(counts)
+            counts = counts[at]
+            inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            rows = orders[b][np.repeat(ends[b][blocks[at, b]] - counts, counts) + inside]
+            at = np.repeat(at, counts)
+            near = np.bitwise_count(known[rows] ^ prints[at]) <= RADIUS
+            places.append(at[near])
+            entries.append(rows[near])
+        return np.concatenate(places), np.concatenate(entries)
 
     def similar(self, words: list[bytes], start: int, item: int) -> float:
         """Weighted Jaccard similarity of an item and the stretch of its length at start."""
@@ -132,6 +124,45 @@ class ItemIndex:
         common = sum(weight(s) * min(k, here[s]) for s, k in mine.items() if s in here)
         return common / (sum(weight(s) * k for s, k in mine.items()) + sum(weight(s) * k for s, k in here.items()) - common)
 
+    def best(self, words: list[bytes], pointed: int, item: int) -> tuple[float, int]:
+        """The best similarity of the stretches around the one pointed to, and its start; 0 where none reaches it."""
+        n, mine = len(self.items[item][1]), self.shingles[item]
+        size = min(n, SIZE)
+        low, high = max(0, pointed - (n - size)), min(len(words) - size, pointed + n - size)
+        grams = [tuple(words[k : k + size]) for k in range(low, min(high + n, len(words)) - size + 1)]
+        least = self.similarity - 1e-9
+        known = Counter(g for g in grams if g in mine)
+        if sum(self.weight[g] * min(k, mine[g]) for g, k in known.items()) < least * self.totals[item]:
+            return 0.0, pointed
+        # running sums tell which starts are worth an exact sum
+        weights = [self.weight.get(g, self.unknown) for g in grams]
+        here: Counter[tuple[bytes, ...]] = Counter()
+        total = common = 0.0
+        first = end = 0
+        rough = []
+        for start in range(low, high + 1):
+            while end < len(grams) and end + low + size <= start + n:
+                g = grams[end]
+                total += weights[end]
+                if here[g] < mine.get(g, 0):
+                    common += weights[end]
+                here[g] += 1
+                end += 1
+            while first + low < start:
+                g = grams[first]
+                total -= weights[first]
+                here[g] -= 1
+                if here[g] < mine.get(g, 0):
+                    common -= weights[first]
+                first += 1
+            rough.append((common / (self.totals[item] + total - common), start))
+        least = max(least, max(rough)[0] - 1e-9)
+        exact = [(self.similar(words, s, item), -abs(s - pointed), s) for value, s in rough if value >= least]
+        if not exact:
+            return 0.0, pointed
+        value, _, start = max(exact)
+        return value, start
+
     def search(self, texts: list[bytes]) -> list[dict[int, tuple[float, int]]]:
         """For each text: item number -> (best similarity, its start in words)."""
         hashes, counts = word_hashes(texts, WORDS_ONLY)
@@ -151,7 +182,7 @@ class ItemIndex:
         for d, pairs in wanted.items():
             words = texts[d].translate(WORDS_ONLY).split()
             for item, start in sorted(pairs):
-                value, _, at = max((self.similar(words, start + s, item), -abs(s), start + s) for s in SLACK)
+                value, at = self.best(words, start, item)
                 old = found[d].get(item)
                 if value >= self.similarity and (old is None or (value, -at) > (old[0], -old[1])):
                     found[d][item] = (value, at)
