@@ -248,3 +248,15 @@ def test_decontamination_finds_every_edit_that_stays_similar():
         got = [0 in x for x in index.search([b" ".join(x) for x in texts])]
         assert got == want, n
         assert any(want) or n < 13
+
+
+def test_decontamination_weighs_shingles_over_the_whole_benchmark(spark, monkeypatch):
+    prompt = "answer the following question in a few words of your own choice please "
+    tails = [" ".join("tail%dof%d" % (k, i) for k in range(14)) for i in range(30)]
+    bench = spark.createDataFrame([(i, prompt + t) for i, t in enumerate(tails)], "item_id long, text string").coalesce(1)
+    texts = [(i, prompt + t.rsplit(" ", k)[0] + " other" * k) for i, t in enumerate(tails) for k in (1, 2, 3)]
+    texts += [(i, "give one " + prompt[7:] + t) for i, t in enumerate(tails)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = sorted(contaminated(frame, bench).collect())
+    monkeypatch.setattr("tidelake.llm.decontaminate.BLOCK", 4)
+    assert whole and sorted(contaminated(frame, bench).collect()) == whole

@@ -6,9 +6,10 @@ one of them, whatever the edits are. Documents are read once; at every word, the
 running sums of word-hash bits. Fingerprints are cut into RADIUS + 1 blocks; a window whose distance to an item's is at
 most RADIUS has a block in common with it, so looking up all blocks finds every such pair. A candidate is settled on
 the words themselves: the weighted Jaccard similarity of 5-word shingles of the item and of any stretch of its length
-around the window, a shingle's weight being its inverse document frequency in the benchmark.
+around the window, a shingle's weight being its inverse document frequency in the whole benchmark.
 
-The benchmark is the query set: it is taken in blocks of ``BLOCK`` items, each of which goes to all tasks.
+The benchmark is the query set: it is taken in blocks of ``BLOCK`` items, each of which goes to all tasks, with the
+weights that its shingles have in all blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import WORDS_ONLY, map_texts, text_or_empty
+from tidelake.llm.common import WORDS_ONLY, map_texts, staged, text_or_empty
 from tidelake.llm.shingles import SIZE, word_hashes
 
 RADIUS, BLOCKS, BLOCK = 3, 4, 5000
@@ -55,16 +56,27 @@ def window_prints(words: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
 
 
 class ItemIndex:
-    """Items with ids; words are bytes. Items without a word are left out."""
+    """Items with ids; words are bytes. Items without a word are left out.
 
-    def __init__(self, items: list[tuple[object, bytes]], similarity: float):
+    Where these are a part of the benchmark, ``n`` is its number of items and ``df`` tells how many of them hold a
+    shingle; one that isn't in it is in one item at most.
+    """
+
+    def __init__(
+        self,
+        items: list[tuple[object, bytes]],
+        similarity: float,
+        df: dict[tuple[bytes, ...], int] | None = None,
+        n: int | None = None,
+    ):
         self.similarity = similarity
         self.items = [(i, w) for i, t in items if (w := t.translate(WORDS_ONLY).split())]
         self.shingles = [Counter(self._shingles(w)) for _, w in self.items]
-        df = Counter(s for x in self.shingles for s in x)
-        n = len(self.items)
+        df = Counter(s for x in self.shingles for s in x) if df is None else df
+        n = len(self.items) if n is None else n
         self.weight = {s: math.log(1 + n / k) for s, k in df.items()}
         self.unknown = math.log(1 + n) if n else 1.0
+        self.weight |= {s: self.unknown for x in self.shingles for s in x if s not in df}
         self.totals = [sum(self.weight[s] * k for s, k in x.items()) for x in self.shingles]
         entries: dict[int, list[tuple[int, int, int]]] = {}
         for k, (_, words) in enumerate(self.items):
@@ -189,6 +201,22 @@ class ItemIndex:
         return found
 
 
+def _frequencies(benchmark: DataFrame, item_text_col: str) -> tuple[dict[tuple[bytes, ...], int], int]:
+    """Shingles that several items of the whole benchmark hold, with their number of items; number of items with a word."""
+
+    def rows():
+        def of(ids, texts):
+            words = [t.translate(WORDS_ONLY).split() for t in texts]
+            return {"s": [[b" ".join(s) for s in {*ItemIndex._shingles(w)}] if w else [] for w in words]}
+
+        return of
+
+    source = benchmark.select(F.lit(0).alias("i"), F.col(item_text_col).alias("t"))
+    held = staged(map_texts(source, "i", "t", rows, "s array<binary>"), "shingles")
+    several = held.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    return {tuple(bytes(r.s).split()): r.n for r in several.toLocalIterator()}, held.where("size(s) > 0").count()
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -209,9 +237,10 @@ def contaminated(
     out = None
     items = benchmark.select(F.col(item_col).alias("i"), text_or_empty(item_text_col).cast("binary").alias("t"))
     block: list[tuple[object, bytes]] = []
+    df, n_items = _frequencies(benchmark, item_text_col)
 
     def passed(block: list[tuple[object, bytes]]) -> DataFrame:
-        index = ItemIndex(block, similarity)
+        index = ItemIndex(block, similarity, df, n_items)
 
         def rows():
             def of(ids, texts):
