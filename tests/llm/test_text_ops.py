@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import shutil
 import zlib
 from array import array
 
@@ -98,6 +99,39 @@ def test_token_store(spark, odd_docs, docs, no_docs, tmp_path):
         assert tops.get("recipes", 0) == at
 
 
+def test_token_store_misses_what_was_lost_or_changed(spark, docs, tmp_path):
+    folder = f"{tmp_path}/store"
+    token_store.write_store(docs.limit(40), folder, WORDS, end_id=2)
+    first = spark.read.parquet(f"{folder}/recipes").orderBy("start").first()
+    name = bytes(first.chunks[0]).hex()
+    later = "CASE WHEN start = 0 THEN {} ELSE {} END"
+    damages = {
+        "recipes": [
+            lambda t: t.where("start > 0"),
+            lambda t: t.withColumn("doc_id", F.expr(later.format("doc_id + 100000", "doc_id"))),
+            lambda t: t.withColumn("start", F.expr(later.format("-1", "start"))),
+        ],
+        "chunks": [lambda t: t.where(f"lower(hex(digest)) <> '{name}'")],
+        "manifest": [lambda t: t.where("part >= 0"), lambda t: t.withColumn("n_ids", F.expr("n_ids + 1"))],
+    }
+    for table, changes in damages.items():
+        for k, change in enumerate(changes):
+            broken = f"{tmp_path}/{table}{k}"
+            shutil.copytree(folder, broken)
+            shutil.rmtree(f"{broken}/{table}")
+            change(spark.read.parquet(f"{folder}/{table}")).write.parquet(f"{broken}/{table}")
+            for read in (token_store.verified, token_store.read_ids):
+                with pytest.raises(Exception, match="match|missing"):
+                    read(spark, broken).collect()
+    # a recipe without its chunks raises by itself too
+    shutil.rmtree(f"{tmp_path}/chunks0/manifest")
+    token_store._manifest(spark, f"{tmp_path}/chunks0").write.parquet(f"{tmp_path}/chunks0/manifest")
+    for read in (token_store.verified, token_store.read_ids):
+        with pytest.raises(Exception, match="missing"):
+            read(spark, f"{tmp_path}/chunks0").collect()
+    assert token_store.verified(spark, folder).count() == 40
+
+
 def test_crc_joins():
     rng, join = random.Random(4), token_store.CrcJoin()
     for _ in range(50):

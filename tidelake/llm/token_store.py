@@ -8,9 +8,11 @@ names of its chunks in order. The store is a folder of Parquet tables:
     recipes/   doc_id, start (ids of all documents before it), n_tokens, chunks array<binary>, root string;
                files hold ascending ranges of doc_id and are sorted by it
     manifest/  kind, part, n_rows, n_ids, root string: a Merkle tree of three levels above the chunks; a recipe's root is
-               the SHA-256 of its chunks' names, a part's that of its rows' roots in order, the top's (part -1) of its parts'
+               the SHA-256 of its chunks' names; a part's is that of its rows' in order, where a recipe's row is its id,
+               start, length and root, and a chunk's its name; the top's (part -1) is that of its parts' roots
 
-Reading checks every payload against its name, and the recipes and manifests against their roots. The checksum of a
+Reading checks every payload against its name, every recipe against its root, and the manifest, made again from the
+recipes and chunks that are there, against the stored one; what is missing or differs raises. The checksum of a
 document is put together from its chunks' checksums (crc32 of a joined string follows from the parts' and their
 lengths), so verifying moves no payloads; ``read_ids`` brings the ids themselves back.
 """
@@ -226,7 +228,7 @@ def _manifest(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("recipes").alias("kind"),
         F.floor(F.col("start") / 4_000_000).alias("part"),
         F.col("start").alias("at"),
-        F.col("root").alias("name"),
+        F.sha2(F.concat(F.to_json(F.struct("doc_id", "start", "n_tokens")), "root"), 256).alias("name"),
         F.col("n_tokens").alias("n"),
     )
     name = F.hex("digest")
@@ -249,6 +251,16 @@ def _manifest(spark: SparkSession, folder: str) -> DataFrame:
     return parts.unionByName(rooted(tops, F.sum("n_rows")))
 
 
+def check_manifest(spark: SparkSession, folder: str) -> None:
+    """Raise where the stored manifest isn't that of the recipes and chunks that are there."""
+    names = ["kind", "part", "n_rows", "n_ids", "root"]
+    there, stored = (x.select(F.struct(*names).alias("row"), "kind", "part") for x in (_manifest(spark, folder), spark.read.parquet(f"{folder}/manifest")))
+    both = there.withColumnRenamed("row", "made").join(stored.withColumnRenamed("row", "stored"), ["kind", "part"], "full")
+    wrong = both.where("NOT made <=> stored").select("kind", "part").first()
+    if wrong:
+        raise ValueError(f"the manifest doesn't match the {wrong.kind} of part {wrong.part}")
+
+
 def chunk_sums(spark: SparkSession, folder: str) -> DataFrame:
     """(digest, n_ids, crc): every stored chunk, read and verified against its name."""
 
@@ -257,10 +269,10 @@ def chunk_sums(spark: SparkSession, folder: str) -> DataFrame:
 
         decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            digests, crcs = batch.column(0).to_pylist(), []
-            for digest, payload in zip(digests, batch.column(2).to_pylist(), strict=True):
+            crcs = []
+            for digest, n, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = unpacked(payload, decompress)
-                if hashlib.sha256(data).digest() != digest:
+                if hashlib.sha256(data).digest() != digest or len(data) != 4 * n:
                     raise ValueError(f"a stored chunk differs from its name {digest.hex()}")
                 crcs.append(zlib.crc32(data))
             yield pa.RecordBatch.from_arrays(
@@ -279,6 +291,8 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             sums = []
             for n, names, root, parts in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                if parts is None or any(p["crc"] is None for p in parts):
+                    raise ValueError("a recipe's chunk is missing")
                 parts = sorted((p["at"], p["crc"], p["n_ids"]) for p in parts)
                 if len(parts) != len(names) or sum(p[2] for p in parts) != n or recipe_root(names) != root:
                     raise ValueError("a recipe doesn't match the store")
@@ -286,41 +300,47 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
             out = [batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    check_manifest(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "n_tokens", "chunks", "root")
     parts = (
         recipes.select("start", F.posexplode("chunks").alias("at", "digest"))
-        .join(chunk_sums(spark, folder), "digest")
+        .join(chunk_sums(spark, folder), "digest", "left")
         .groupBy("start")
         .agg(F.collect_list(F.struct("at", "n_ids", "crc")).alias("parts"))
     )
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    return recipes.join(parts, "start").select("doc_id", "start", "n_tokens", "chunks", "root", "parts").mapInArrow(
+    return recipes.join(parts, "start", "left").select("doc_id", "start", "n_tokens", "chunks", "root", "parts").mapInArrow(
         run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long"
     )
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, ids array<long>): the ids themselves, put together from the chunks."""
+    """(doc_id, start, ids array<long>): the ids themselves, put together from the chunks and checked as ``verified`` does."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<long>")
-    def joined(parts):
+    def joined(parts, chunks, n_tokens, root):
+        import pandas as pd
         import zstandard
 
         decompress = zstandard.ZstdDecompressor().decompress
         rows = []
-        for x in parts:
-            ordered = sorted(x, key=lambda p: p["at"])
-            rows.append(np.frombuffer(b"".join(unpacked(bytes(p["payload"]), decompress) for p in ordered), "<u4").astype(np.int64))
-        import pandas as pd
-
+        for x, names, n, r in zip(parts, chunks, n_tokens, root, strict=True):
+            if x is None or any(p["payload"] is None for p in x):
+                raise ValueError("a recipe's chunk is missing")
+            data = [unpacked(bytes(p["payload"]), decompress) for p in sorted(x, key=lambda p: p["at"])]
+            names = [bytes(name) for name in names]
+            if [hashlib.sha256(d).digest() for d in data] != names or sum(map(len, data)) != 4 * n or recipe_root(names) != r:
+                raise ValueError("a recipe doesn't match the store")
+            rows.append(np.frombuffer(b"".join(data), "<u4").astype(np.int64))
         return pd.Series(rows)
 
+    check_manifest(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes")
-    return (
-        recipes.select("doc_id", "start", F.posexplode("chunks").alias("at", "digest"))
-        .join(spark.read.parquet(f"{folder}/chunks"), "digest")
-        .groupBy("doc_id", "start")
+    parts = (
+        recipes.select("start", F.posexplode("chunks").alias("at", "digest"))
+        .join(spark.read.parquet(f"{folder}/chunks"), "digest", "left")
+        .groupBy("start")
         .agg(F.collect_list(F.struct("at", "payload")).alias("parts"))
-        .select("doc_id", "start", joined("parts").alias("ids"))
     )
+    return recipes.join(parts, "start", "left").select("doc_id", "start", joined("parts", "chunks", "n_tokens", "root").alias("ids"))
