@@ -11,6 +11,20 @@ from tidelake.llm.common import dropped, staged
 
 #: Keys of at most this many rows of a few numbers (some MB) are sent to all tasks.
 SENT_KEYS = 200_000
+#: Members of an open bucket that meet in one task; a larger bucket is dealt out to several.
+PER_TASK = 512
+#: Rounds of further hubs at most, and pairs for each open member from which one is worth it.
+HUB_ROUNDS, WORTH = 4, 16
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with u > v that connect the same ids as (a, b), without a join: each id keeps the edge to its smallest
+    partner, and its other partners become edges between partners, of which equal ones are one row."""
+    turned = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    least = turned.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
+    kept = least.select("u", F.col("m").alias("v"))
+    more = least.select(F.explode("vs").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return kept.union(more).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         state = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
         before = state
         both = stars.union(stars.select("v", "u"))
@@ -47,52 +61,108 @@ def looked_up(table: DataFrame, keys: DataFrame, on: str, how: str = "inner") ->
     return table.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, on, how)
 
 
+def relabelled(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups (id, component) after further links (a, b). Only the links' ends are moved, as edges between groups."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(groups.toDF(end, f"{end}_c"), end, "left").withColumn(end, F.coalesce(f"{end}_c", end)).drop(f"{end}_c")
+    merged = components(ends.distinct())
+    moved = groups.join(merged.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    # ids that had no group, or were the smallest of theirs, and now have one
+    fresh = merged.join(groups.select("id"), "id", "left_anti")
+    return moved.unionByName(fresh)
+
+
 def linked(
-    members: DataFrame,
-    verify: Callable[[DataFrame, bool], DataFrame],
-    extras: DataFrame,
-    near: Callable[[str, str], Column],
+    heads: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], near_cols: list[str]
 ) -> DataFrame:
-    """(id, component) of all ids that links connect. members: (key, id), the buckets; ids of one bucket may link.
+    """(id, component) of all ids that links connect. heads: a staged table (id, keys, near_cols); ids may link that share a key.
 
-    ``extras`` has columns for each id by which ``near``, given the prefixes of the two sides' columns, tells cheaply
-    which pairs can't be links (it may look at the column "key"). ``verify`` takes pairs (a, b), and whether they were
-    found near already, and returns those that are links. Every pair of a bucket is either verified or lies
-    inside one connected group already, so no link that would join two groups is missed:
+    ``near``, given the prefixes of the two sides' near_cols, tells cheaply which pairs can't be links. ``verify`` takes
+    a staged table of pairs (a, b) that are near and returns a staged table of those that are links. Every pair that
+    shares a key is either near and verified, or lies inside one connected group already, so no link that would join two
+    groups is missed:
 
     1. In each bucket the smallest id is a hub; each member is verified against it. A bucket of n gives n - 1 pairs.
        Buckets of two, most of all, are known from their smallest and largest id alone.
-    2. A larger bucket whose members are then in several groups has pairs across groups left. All these have an end
-       outside the bucket's largest group, so just these ends meet the members of other groups, and the join itself
-       only lets near pairs out.
+    2. A larger bucket whose members are then in several groups is open. Where its pairs across groups are many, the
+       members outside of its largest group are verified against further hubs, picked by a hash from that group, round
+       after round: a group of drifting copies soon is one.
+    3. All pairs left across groups have an end outside the bucket's largest group, so just these ends meet the members
+       of other groups, dealt out to as many tasks as the bucket is large, and the join itself only lets near pairs out.
     """
+    members = heads.select(F.explode("keys").alias("key"), "id")
     buckets = staged(
         members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n")).where("hub < top"),
         "buckets",
     )
+
+    def closest(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) that are near."""
+        both = pairs.select("a", "b").distinct()
+        for end in ("a", "b"):
+            both = both.join(heads.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in near_cols)), end)
+        return staged(both.where(near("a_", "b_")).select("a", "b"), "pairs")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        found = verify(pairs)
+        dropped(pairs)
+        return found
+
     two = buckets.where("n = 2").select(F.col("hub").alias("a"), F.col("top").alias("b"))
-    larger = staged(looked_up(members, staged(buckets.where("n > 2").select("key", "hub"), "keys"), "key"), "larger")
-    pairs = two.union(larger.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
-    first = staged(verify(pairs, False), "links")
-    groups = staged(components(first), "groups")
-    labelled = looked_up(larger, groups, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
-    # buckets with one group only are done
-    open_keys = (
-        labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    keys = staged(buckets.where("n > 2").select("key", "hub"), "keys")
+    larger = staged(looked_up(members, keys, "key"), "larger")
+    first = links_of(closest(two.union(larger.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))))
+    edges = staged(contracted(first), "edges")
+    dropped(buckets, keys, first)
+    groups = components(edges.toDF("a", "b"))
+    dropped(edges)
+    for done in range(HUB_ROUNDS + 1):
+        labelled = looked_up(larger, groups, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
+        sizes = staged(labelled.groupBy("key", "component").agg(F.count("*").alias("n")), "sizes")
+        # of each bucket that has several groups: its size, and its largest group
+        main = staged(
+            sizes.groupBy("key")
+            .agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("groups"))
+            .where("groups > 1")
+            .select("key", "n", F.col("m.n").alias("n_main"), F.col("m.component").alias("main")),
+            "main",
+        )
+        dropped(sizes)
+        crosses, n_open = main.agg(F.sum(F.col("n") * (F.col("n") - F.col("n_main"))), F.sum("n")).first()
+        if not n_open:
+            dropped(larger, main)
+            return groups
+        left = labelled.join(main, "key")
+        outside = left.where("component <> main")
+        if done == HUB_ROUNDS or crosses <= WORTH * n_open:
+            break
+        hubs = (
+            left.where("component = main")
+            .groupBy("key")
+            .agg(F.min_by("id", F.xxhash64("id", F.lit(done))).alias("a"))
+        )
+        tried = closest(outside.where("id <> hub").join(hubs, "key").select("a", F.col("id").alias("b")))
+        more = links_of(tried)
+        following = staged(larger.join(main.select("key"), "key", "left_semi"), "larger"), staged(relabelled(groups, more), "groups")
+        dropped(larger, groups, main, more)
+        larger, groups = following
+
+    parts = F.ceil(F.col("n") / PER_TASK)
+    extras = heads.select("id", "keys", *near_cols)
+    names = ["id", "hub", "component", "keys", *near_cols]
+    x = outside.join(extras, "id").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *(F.col(c).alias(f"x_{c}") for c in names))
+    y = left.join(extras, "id").select(
+        F.col("key").alias("y_key"), F.pmod(F.xxhash64("id"), parts).alias("y_part"), *(F.col(c).alias(f"y_{c}") for c in names)
     )
-    left = staged(labelled.join(open_keys, "key", "left_semi"), "open")
-    sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-    sides = staged(left.join(extras, "id"), "sides")
-    names = [c for c in sides.columns if c != "key"]
-    x = sides.join(main, "key").where("component <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in names))
-    y = sides.select(F.col("key").alias("y_key"), *(F.col(c).alias(f"y_{c}") for c in names))
-    # a hub has been verified against its whole bucket
-    cross = F.expr("key = y_key AND x_component <> y_component AND x_id <> x_hub AND y_id <> x_hub")
+    # a hub has been verified against its whole bucket; a pair counts in one of the buckets that it shares
+    cross = F.expr("key = y_key AND part = y_part AND x_component <> y_component AND x_id <> x_hub AND y_id <> x_hub")
+    once = F.expr("array_min(array_intersect(x_keys, y_keys)) = key")
     rest = staged(
-        x.join(y, cross & near("x_", "y_")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(),
+        x.join(y, cross & near("x_", "y_") & once).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(),
         "pairs",
     )
-    if rest.isEmpty():
-        return groups
-    return components(first.union(verify(rest, True)))
+    more = links_of(rest)
+    merged = staged(relabelled(groups, more), "groups")
+    dropped(larger, main, more, groups)
+    return merged

@@ -6,7 +6,8 @@ samples of two documents cancel in the XOR of their sketches, and its population
 precisely. Pairs whose estimate lies far below the threshold go; the others are confirmed on their full shingle sets.
 
 At the threshold of 0.85 a pair shares no band with a chance of (1 - 0.85^4)^32 < 1e-10. The estimate is cut at 5.5
-of its standard deviations (about 0.79). Documents with equal sets are one class, represented by its smallest id, before all that.
+of its standard deviations (about 0.79). Documents with equal sets are one class before all
+that, named by a number made from the set's digest, so ids may repeat.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import map_texts, staged, text_or_empty
+from tidelake.llm.common import dropped, map_texts, staged
 from tidelake.llm.links import linked, looked_up
 from tidelake.llm.shingles import mixed, shingle_sets
 
@@ -92,7 +93,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for s in sets:
                     out["n_shingles"].append(len(s))
                     b, w = next(found) if len(s) else (None, None)
-                    out["digest"].append(hashlib.sha256(s.tobytes()).digest()[:20] if len(s) else None)
+                    out["digest"].append(_digest(s) if len(s) else None)
                     out["bands"].append(b)
                     out["sketch"].append(w)
             return out
@@ -109,8 +110,8 @@ def _odd_bits(a: str, b: str):
     return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_BITS // 64))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. texts: (id, text as binary), one row for each id in pairs.
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. sets: (id, set as binary), one row for each id in pairs.
 
     A hub that occurs in many pairs is copied once for every PER_HUB of them, so no task gathers its whole group.
     """
@@ -118,89 +119,102 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salted = pairs.join(counts, "a").select("a", "b", salt)
     hubs = salted.select("a", "salt").distinct()
-    left = hubs.join(texts, hubs.a == texts.id).select("a", "salt", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
-    right = salted.join(texts, salted.b == texts.id).select("a", "salt", "b", "text")
+    left = hubs.join(sets, hubs.a == sets.id).select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
+    right = salted.join(sets, salted.b == sets.id).select("a", "salt", "b", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hub = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                a, s, b = (part.column(k).to_pylist() for k in range(3))
-                found_a, found_b = [], []
-                for x, z, y, own in zip(a, s, b, shingle_sets(part.column(3).to_pylist()), strict=True):
-                    if y is None:
-                        now, hub = (x, z), own
-                    elif (x, z) == now:
-                        both = len(hub) + len(own)
-                        common = both - len(np.union1d(hub, own))
-                        if 100 * common >= percent * (both - common):
-                            found_a.append(x)
-                            found_b.append(y)
-                    else:
-                        raise ValueError("a member without its hub")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found_a, part.schema.field(0).type), pa.array(found_b, part.schema.field(0).type)], names=["a", "b"]
-                )
-
-    kind = pairs.schema["a"].dataType.simpleString()
+            found_a, found_b = [], []
+            for x, z, y, own in zip(*(batch.column(k) for k in range(4)), strict=True):
+                x, z, y, own = x.as_py(), z.as_py(), y.as_py(), np.frombuffer(own.as_buffer(), np.uint64)
+                if y is None:
+                    now, hub = (x, z), own.copy()
+                elif (x, z) == now:
+                    both = len(hub) + len(own)
+                    common = both - len(np.union1d(hub, own))
+                    if 100 * common >= percent * (both - common):
+                        found_a.append(x)
+                        found_b.append(y)
+                else:
+                    raise ValueError("a member without its hub")
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
     return (
         left.union(right)
         .repartition("a", "salt")
         .sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        .mapInArrow(run, f"a {kind}, b {kind}")
+        .mapInArrow(run, "a long, b long")
     )
 
 
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.sha256(own.tobytes()).digest()[:20]
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, set as binary) of documents with words."""
+
+    def rows():
+        def of(ids, texts):
+            sets = shingle_sets(texts)
+            return {"id": ids, "digest": [_digest(s) for s in sets], "set": [s.tobytes() for s in sets]}
+
+        return of
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_texts(docs, id_col, text_col, rows, f"id {kind}, digest binary, set binary")
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """(digest, rep, node): a number for each class. Digests whose numbers meet are dealt out again."""
+    first = classes.withColumn("node", F.xxhash64("digest"))
+    clashes = staged(first.groupBy("node").agg(F.count("*").alias("n"), F.min("digest").alias("d")).where("n > 1").select("node", "d"), "clashes")
+    if clashes.isEmpty():
+        return first
+    again = F.when(F.col("digest") != F.col("d"), F.xxhash64(F.lit(1), "digest")).otherwise(F.col("node"))
+    return first.join(clashes, "node", "left").select("digest", "rep", again.alias("node"))
+
+
 def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_shingles, component_id (the smallest id that links reach) and kept.
 
     Texts are lower-cased (A-Z) and split at ASCII white space; a text of fewer than five words is one shingle; without
     words (null, empty or blank) a document has no shingle and no link. Documents link from
-    ``100 * common >= percent * union`` on. Rows that repeat an id all count as that document; ids must not be null
-    (rows with a null id are returned unlinked, with a null component).
+    ``100 * common >= percent * union`` on. Rows that repeat an id are documents of their own, each linked by its text.
+    A null id is never the smallest: only in a group without any other is component_id null, and kept true. Very long
+    texts are compared whole, ties go to the smallest id, other columns are not read, an empty table gives no rows.
     """
     prints = staged(fingerprints(docs, id_col, text_col), "prints")
-    known = prints.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    classes = staged(known.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    heads = staged(
-        known.join(classes, (known.id == classes.rep) & (known.digest == classes.digest))
-        .select("id", "bands", "sketch")
-        .dropDuplicates(["id"]),
-        "heads",
-    )
+    known = prints.where(F.col("digest").isNotNull())
+    classes = staged(known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("keys"), F.first("sketch").alias("sketch")), "classes")
+    numbered = _numbered(classes.select("digest", "rep"))
+    heads = staged(classes.join(numbered.drop("rep"), "digest").select(F.col("node").alias("id"), "digest", "rep", "keys", "sketch"), "heads")
+    dropped(classes)
     most = most_odd_bits(percent)
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-
-    def verify(pairs: DataFrame, near_already: bool) -> DataFrame:
-        sketch = heads.select("id", "sketch")
-        close = pairs if near_already else staged(
-            pairs.join(sketch.toDF("a", "sa"), "a")
-            .join(sketch.toDF("b", "sb"), "b")
-            .where(_odd_bits("sa", "sb") <= most)
-            .select("a", "b"),
-            "pairs",
-        )
-        ids = staged(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "ids")
-        wanted = staged(looked_up(texts, ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        return _confirmed(close, wanted, percent)
-
-    members = heads.select(F.explode("bands").alias("key"), "id")
 
+    def verify(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = staged(heads.select("id", "digest", "rep").join(nodes, "id", "left_semi"), "wanted")
+        # a class is read from the rows of its smallest id; a null id's texts are looked for in all such rows
+        texts = looked_up(docs.select(id_col, text_col), staged(wanted.select(F.col("rep").alias(id_col)).distinct(), "ids"), id_col, "left_semi")
+        if not wanted.where("rep IS NULL").isEmpty():
+            texts = texts.union(docs.select(id_col, text_col).where(F.col(id_col).isNull()))
+        sets = _sets(texts, id_col, text_col).withColumnRenamed("id", "rep")
+        sets = staged(sets.join(wanted.select("digest", F.col("id").alias("node"), F.col("rep").alias("r")), "digest").where("rep <=> r").select(F.col("node").alias("id"), "set").dropDuplicates(["id"]), "sets", "lz4")
+        found = staged(_confirmed(pairs, sets, percent), "confirmed")
+        dropped(wanted, sets)
+        return found
 
     def near(x: str, y: str) -> Column:
-        """Sketches close enough, and only in the first bucket that the two share."""
-        a, b = F.col(f"{x}bands"), F.col(f"{y}bands")
-        first = F.coalesce(*(F.when(a[k] == b[k], a[k]) for k in range(BANDS)))
-        return (_odd_bits(f"{x}sketch", f"{y}sketch") <= most) & (first == F.col("key"))
-
-    groups = linked(members, verify, heads, near)
-    answers = classes.join(groups, classes.rep == groups.id, "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
-    )
+        """Sketches close enough."""
+        return _odd_bits(f"{x}sketch", f"{y}sketch") <= most
+
+    groups = linked(heads, verify, near, ["sketch"])
+    labelled = heads.select("id", "digest", "rep").join(groups, "id", "left").select("digest", "rep", F.coalesce("component", "id").alias("c"))
+    least = labelled.groupBy("c").agg(F.min("rep").alias("component_id"))
+    answers = labelled.join(least, "c").select("digest", "component_id", F.lit(True).alias("linked"))
+    whole = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id"))
     return prints.join(answers, "digest", "left").select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"),
+        F.col("id").alias(id_col), "n_shingles", whole.alias("component_id"), F.col("id").eqNullSafe(whole).alias("kept")
     )
