@@ -87,7 +87,7 @@ def linked(
        Buckets of two, most of all, are known from their smallest and largest id alone.
     2. A larger bucket whose members are then in several groups is open. Where its pairs across groups are many, the
        members outside of its largest group are verified against further hubs, picked by a hash from that group, round
-       after round: a group of drifting copies soon is one.
+       after round as long as that finds links: a group of drifting copies soon is one.
     3. All pairs left across groups have an end outside the bucket's largest group, so just these ends meet the members
        of other groups, dealt out to as many tasks as the bucket is large, and the join itself only lets near pairs out.
     """
@@ -117,6 +117,7 @@ def linked(
     dropped(buckets, keys, first)
     groups = components(edges.toDF("a", "b"))
     dropped(edges)
+    fruitful = True
     for done in range(HUB_ROUNDS + 1):
         labelled = looked_up(larger, groups, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
         sizes = staged(labelled.groupBy("key", "component").agg(F.count("*").alias("n")), "sizes")
@@ -135,7 +136,7 @@ def linked(
             return groups
         left = labelled.join(main, "key")
         outside = left.where("component <> main")
-        if done == HUB_ROUNDS or crosses <= WORTH * n_open:
+        if done == HUB_ROUNDS or crosses <= WORTH * n_open or not fruitful:
             break
         hubs = (
             left.where("component = main")
@@ -144,6 +145,7 @@ def linked(
         )
         tried = closest(outside.where("id <> hub").join(hubs, "key").select("a", F.col("id").alias("b")))
         more = links_of(tried)
+        fruitful = more.count() > n_open // 64
         following = staged(larger.join(main.select("key"), "key", "left_semi"), "larger"), staged(relabelled(groups, more), "groups")
         dropped(larger, groups, main, more)
         larger, groups = following
