@@ -98,6 +98,13 @@ def test_near_dedup_is_the_plain_version(spark, odd_docs, docs):
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == plain_near(rows)
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    words = [" ".join("w%dx%d" % (k, i) for i in range(60)) for k in range(6)]
+    rows = [(1, w) for w in words[:3]] + [(10 + k, w.replace("x7 ", "y ")) for k, w in enumerate(words)] + [(None, words[0])]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == sorted([(1, 1)] * 3 + [(10, 1), (11, 1), (12, 1), (13, 13), (14, 14), (15, 15), (0, 1)])
+
+
 def test_near_dedup_of_nothing(no_docs):
     assert near_dedup(no_docs).collect() == []
 

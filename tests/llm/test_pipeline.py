@@ -21,7 +21,7 @@ def test_stages(spark, sf, tmp_path):
     before, after, _ = seen["exact_dedup"]
     assert after == {r[0] for r in plain_exact(list(before.items())) if r[3]}
     before, after, _ = seen["near_dedup"]
-    assert after == {i for i, r in plain_near(list(before.items())).items() if r[2]}
+    assert after == {i for i, r in plain_near(list(before.items()), 80).items() if r[2]}
     before, after, _ = seen["decontamination"]
     items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     holds = {i for i, t in before.items() if any(x in " ".join(t.lower().split()) for x in items)}
@@ -48,3 +48,10 @@ def test_model_ignores_held_out_labels(spark, sf):
     flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality_model(docs, labels), quality_model(docs, flipped)
     assert (a.weights == b.weights).all() and isinstance(a, quality.PuModel)
+
+
+def test_exact_stage_of_repeated_and_missing_ids(spark, sf):
+    rows = [(None, "a b"), (None, "A b"), (5, "c d"), (5, "c d"), (5, "other"), (7, "e"), (8, "E"), (9, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.exact_dedup_stage(spark, docs, sf).collect()), key=repr)
+    assert got == sorted([(None, "a b"), (5, "c d"), (5, "other"), (8, "e"), (9, "")], key=repr)

@@ -294,3 +294,18 @@ def test_decontamination_weighs_shingles_over_the_whole_benchmark(spark, monkeyp
     whole = sorted(contaminated(frame, bench).collect())
     monkeypatch.setattr("tidelake.llm.decontaminate.BLOCK", 4)
     assert whole and sorted(contaminated(frame, bench).collect()) == whole
+
+
+def test_letters():
+    assert not any(language_id.has_letter(x.encode()) for x in ("", "12 ½ ² ①", "_ 。", "\U0001f600"))
+    assert all(language_id.has_letter(x.encode()) for x in ("a", "1é", "日", "_ß"))
+
+
+def test_every_key_phrase_finds_its_template():
+    from tidelake.llm.license_scan import TEMPLATES, RareIndex, vocabulary
+
+    for counts in ({}, {w: len(w) * 7 for w in vocabulary()}, {w: 100 - len(w) for w in vocabulary()}):
+        index = RareIndex(1000, counts)
+        for label, _, phrases in TEMPLATES:
+            for p in phrases:
+                assert label in index.scan(b"some words before".split() + p.encode().split() + b"and after".split())[0], (label, p)

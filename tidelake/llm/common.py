@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,13 +38,10 @@ def crc_mod(column: str, divisor: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: the session's checkpoint folder, else one in its warehouse."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelake-"))
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/staged").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -9,8 +9,6 @@ every text, cut into windows whose states start from zero.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +16,6 @@ from pyspark.sql import functions as F
 from tidelake.llm.common import map_texts
 
 WINDOW = 96
-#: Any letter: word characters that are neither digits nor the underscore.
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Gru:
@@ -145,7 +141,8 @@ class LanguageModel:
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_LETTER.search(text.decode("utf-8", "replace")))
+    """Whether any character is a letter; other word characters, such as ² or ½, are not."""
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def spread_windows(text: bytes, most: int = 40) -> list[bytes]:
@@ -198,7 +195,11 @@ def fit(
 
 
 def predicted(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) of every whole text; ``und`` and score 0 for a null text or one without a letter."""
+    """(id_col, lang_pred, score) of every whole text; ``und`` and score 0 for a null text or one without a letter.
+
+    Very long texts count whole; of languages that tie, the first in sorted order is taken; rows that repeat an id each
+    have their own row; other columns, whatever their names, are not read.
+    """
 
     def rows():
         def of(ids, texts):

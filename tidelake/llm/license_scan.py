@@ -86,7 +86,7 @@ def word_frequencies(docs: DataFrame, templates=TEMPLATES, text_col: str = "text
 
 
 class RareIndex:
-    """Positions of each template's ``rare`` words of highest IDF."""
+    """Positions of the ``rare`` words of highest IDF of each key phrase of each template."""
 
     def __init__(self, n_docs: int, counts: dict[bytes, int], templates=TEMPLATES, rare: int = 4, slack: int = 3):
         self.slack, self.labels, self.need, self.sizes, self.phrases = slack, [], [], [], []
@@ -94,15 +94,14 @@ class RareIndex:
         idf = lambda w: math.log((n_docs + 1) / (counts.get(w, 0) + 1)) + 1
         for k, (label, text, phrases) in enumerate(templates):
             words = text.encode().split()
-            # mandatory phrases first: a file with such a phrase must be found through it, even without the rest
-            inside = {w for p in phrases for w in p.encode().split()}
-            best = sorted(inside, key=lambda w: (-idf(w), w))[:rare]
+            # those of each mandatory phrase apart: a file with just one of them must be found through it
+            best = {w for p in phrases for w in sorted(set(p.encode().split()), key=lambda w: (-idf(w), w))[:rare]}
             for at, w in enumerate(words):
                 if w in best:
                     self.postings[w].append((k, at))
             self.labels.append(label)
             self.sizes.append(len(words))
-            self.need.append(min(2, len(best)))
+            self.need.append(min(2, *(len(set(p.split())) for p in phrases)) if phrases else 2)
             self.phrases.append([p.encode().split() for p in phrases])
         self.weight = {w: idf(w) for w in vocabulary(templates)}
         self.total = [sum(self.weight[w] for w in text.encode().split()) for _, text, _ in templates]

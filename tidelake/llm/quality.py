@@ -125,9 +125,11 @@ def _sampled(docs: DataFrame, ids: DataFrame, limit: int, id_col: str, text_col:
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col, "left_semi")
 
     def make():
-        return lambda ids, texts: {"f": [features(t).tobytes() for t in texts]}
+        return lambda ids, texts: {"id": ids, "f": [features(t).tobytes() for t in texts]}
 
-    got = map_texts(rows, id_col, text_col, make, "f binary").limit(2 * limit).collect()
+    # an id that rows repeat counts once, by the smallest of its rows, so at most limit rows reach the driver, in fixed order
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = map_texts(rows, id_col, text_col, make, f"id {kind}, f binary").groupBy("id").agg(F.min("f").alias("f")).orderBy("id").collect()
     return np.array([np.frombuffer(r.f, np.float32) for r in got]).reshape(-1, N_FEATURES)
 
 
@@ -151,7 +153,10 @@ def fit(
 
 
 def scored(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every whole text, null and empty texts included; other columns are not read."""
+    """(id_col, score) of every whole text, null, empty and very long ones included; equal texts have equal scores.
+
+    Rows that repeat an id each have their own row; other columns, whatever their names, are not read.
+    """
 
     def rows():
         return lambda ids, texts: {"id": ids, "score": model.score(np.array([features(t) for t in texts])).tolist()}
