@@ -274,6 +274,16 @@ def test_partitioned_table(spark, tmp_path):
     assert tools.validate_files(t4, {"max_delete_files": 0, "max_data_files": 99}) and not tools.validate_files(t4, {"max_data_files": 99})
 
 
+def test_positional_deletes_of_a_partitioned_table(spark, tmp_path):
+    rows = spark.sql("SELECT id AS a, CAST(id % 5 AS INT) AS b, CAST(id % 3 AS DECIMAL(5, 2)) AS d, CAST(id % 2 AS STRING) AS x FROM range(100)")
+    t = Table.create(spark, f"{tmp_path}/p", rows.schema, [("b", "identity"), ("d", "identity"), ("x", "identity")]).append(rows)
+    at = spark.read.parquet(*[r.file_path for r in t.plan().collect()]).where("a IN (3, 8, 55)").select(F.col("_metadata.file_path"), F.col("_metadata.row_index").alias("pos"))
+    u = t.delete_positions(at.union(spark.sql("SELECT '/elsewhere' AS file_path, 1L AS pos")))
+    assert {r.a for r in u.read(["a"]).collect()} == set(range(100)) - {3, 8, 55}
+    assert {r.a for r in u.append(rows.where("a = 3")).read(["a"]).collect()} == set(range(100)) - {8, 55}
+    assert t.delete_positions(at.where("false")).read().count() == 100
+
+
 def test_positional_and_vector_deletes(spark, tmp_path):
     t = Table.create(spark, f"{tmp_path}/two", frame(spark).schema).append(frame(spark).coalesce(1))
     path = t.plan().first().file_path
@@ -336,6 +346,9 @@ def test_stream_appends_once(spark, tmp_path):
         stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
         append_stream(stream, f"{tmp_path}/t", f"{tmp_path}/ck").awaitTermination()
     assert Table.open(spark, f"{tmp_path}/t").read().count() == 20
+    # another stream into the same table has batch numbers of its own
+    append_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/ck2").awaitTermination()
+    assert Table.open(spark, f"{tmp_path}/t").read().count() == 40
 
 
 def test_files(spark, tmp_path):

@@ -6,6 +6,7 @@ manifest list and the next metadata file, and takes effect by a rename that fail
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
@@ -124,11 +125,38 @@ class Table:
         return self.transaction().add(self._write_files(df.select(*names), "append")).commit(ref)
 
     def delete_positions(self, positions: DataFrame, ref: str = "main") -> Table:
-        """Positional deletes: frame of (file_path, pos), written sorted by both."""
+        """Positional deletes: frame of (file_path, pos), written sorted by both, each under its data file's partition.
+
+        Positions of files that the table's snapshot doesn't have delete nothing and aren't written.
+        """
         deletes.check_positional_schema(positions.schema)
-        rows = positions.select("file_path", "pos").repartitionByRange("file_path", "pos").sortWithinPartitions("file_path", "pos")
-        entries = self._write_files(rows, "positions", partitioned=False)
-        return self.transaction().add(self._as_deletes(entries, manifests.POSITION_DELETES)).commit(ref)
+        rows = positions.select("file_path", "pos")
+        if not self.meta.spec():
+            rows = rows.repartitionByRange("file_path", "pos").sortWithinPartitions("file_path", "pos")
+            entries = self._write_files(rows, "positions", partitioned=False)
+            return self.transaction().add(self._as_deletes(entries, manifests.POSITION_DELETES)).commit(ref)
+        data = self.plan(ref=ref).where("content = 0").select(
+            deletes.normal_path(F.col("file_path")).alias("p"), "partition", "spec_id", F.xxhash64("partition").alias("_part")
+        )
+        rows = rows.join(data, deletes.normal_path(F.col("file_path")) == F.col("p"))
+        touched = {r._part: (r.spec_id, r.partition) for r in rows.select("_part", "spec_id", "partition").distinct().collect()}
+        folder, ids = f"{self.meta.location}/data/positions-{uuid.uuid4()}", self._ids()
+        rows = rows.select(*(F.col(c).alias(c, metadata={S.FIELD_ID: ids[c][0]}) for c in ("file_path", "pos")), "_part")
+        rows = rows.repartitionByRange("_part", "file_path", "pos").sortWithinPartitions("_part", "file_path", "pos")
+        rows.write.partitionBy("_part").parquet(folder)
+        entries = []
+        for e in self._entries(folder, [], rows.drop("_part")) if touched else []:
+            spec_id, text = touched[int(re.search(r"/_part=(-?\d+)/", e["data_file"]["file_path"])[1])]
+            file = e["data_file"] | {"content": manifests.POSITION_DELETES, "equality_ids": None, "partition": self._partition_values(spec_id, text)}
+            entries.append(e | {"data_file": file, "spec_id": spec_id})
+        return self.transaction().add(entries).commit(ref)
+
+    def _partition_values(self, spec_id: int, text: str) -> dict:
+        """The values that a plan's partition text names, in the types of the manifest."""
+        sources = {f["id"]: f["type"] for f in self.meta.schema_fields()}
+        spec = next(s["fields"] for s in self.meta.raw["partition-specs"] if s["spec-id"] == spec_id)
+        kinds = {p["name"]: manifests.partition_type(p["transform"], sources[p["source-id"]]) for p in spec}
+        return {k: v if v is None else planning.unplain(kinds[k], v) for k, v in json.loads(text)[1]}
 
     def delete_equal(self, keys: DataFrame, ref: str = "main") -> Table:
         """Equality deletes on the frame's columns, for every older row whatever its partition."""
@@ -255,19 +283,20 @@ class Transaction:
         if parent not in (None, -1):
             rows = manifests.read_list(files.read_bytes(spark, meta.snapshot(parent)["manifest-list"]))
         sources = {f["id"]: f["type"] for f in meta.schema_fields()}
-        for content, spec in ((manifests.DATA, meta.spec()), (1, [])):
-            mine = [e for e in self.entries if (e["data_file"]["content"] != manifests.DATA) == bool(content)]
-            if not mine:
-                continue
-            # deletes here are unpartitioned unless the table is
-            spec_id = raw["default-spec-id"]
-            if content and meta.spec():
+        groups: dict[tuple[int, int | None], list[dict]] = {}
+        for e in self.entries:
+            groups.setdefault((int(e["data_file"]["content"] != manifests.DATA), e.get("spec_id")), []).append(e)
+        for (content, own), mine in sorted(groups.items(), key=lambda g: (g[0][0], g[0][1] is not None, g[0][1] or 0)):
+            # deletes that name no spec are unpartitioned
+            spec = meta.spec() if not content else [] if own is None else next(s["fields"] for s in raw["partition-specs"] if s["spec-id"] == own)
+            spec_id = raw["default-spec-id"] if own is None else own
+            if content and own is None and meta.spec():
                 spec_id = next((s["spec-id"] for s in raw["partition-specs"] if not s["fields"]), None)
                 if spec_id is None:
                     spec_id = max(s["spec-id"] for s in raw["partition-specs"]) + 1
                     raw["partition-specs"].append({"spec-id": spec_id, "fields": []})
             partition = [(p["name"], p["field-id"], manifests.partition_type(p["transform"], sources[p["source-id"]])) for p in spec]
-            data = manifests.write_manifest(({**e, "snapshot_id": snapshot_id} for e in mine), partition, spec_id, content)
+            data = manifests.write_manifest(({"status": e["status"], "data_file": e["data_file"], "snapshot_id": snapshot_id} for e in mine), partition, spec_id, content)
             path = f"{meta.location}/metadata/{uuid.uuid4()}-m{content}.avro"
             files.write_bytes(spark, path, data)
             rows.append(
