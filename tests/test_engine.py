@@ -280,8 +280,9 @@ def test_positional_deletes_of_a_partitioned_table(spark, tmp_path):
     at = spark.read.parquet(*[r.file_path for r in t.plan().collect()]).where("a IN (3, 8, 55)").select(F.col("_metadata.file_path"), F.col("_metadata.row_index").alias("pos"))
     u = t.delete_positions(at.union(spark.sql("SELECT '/elsewhere' AS file_path, 1L AS pos")))
     assert {r.a for r in u.read(["a"]).collect()} == set(range(100)) - {3, 8, 55}
-    assert {r.a for r in u.append(rows.where("a = 3")).read(["a"]).collect()} == set(range(100)) - {8, 55}
-    assert t.delete_positions(at.where("false")).read().count() == 100
+    v = u.append(rows.where("a = 3"))
+    assert {r.a for r in v.read(["a"]).collect()} == set(range(100)) - {8, 55}
+    assert v.delete_positions(at.where("false")).read().count() == 98
 
 
 def test_positional_and_vector_deletes(spark, tmp_path):

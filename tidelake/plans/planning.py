@@ -99,14 +99,6 @@ def _plain(v: object) -> object:
     return v.hex() if isinstance(v, bytes) else str(v) if isinstance(v, Decimal) else v
 
 
-def unplain(kind: str, v: object) -> object:
-    """The value of a partition's text in its type."""
-    kind = str(kind)
-    if kind.startswith("decimal"):
-        return Decimal(v)
-    return bytes.fromhex(v) if kind in ("binary", "uuid") or kind.startswith("fixed") else v
-
-
 def partition_key(spec_id: int, values: dict) -> str:
     """One text for a partition: its spec and named values; equal partitions have equal texts."""
     return json.dumps([spec_id if values else -1, sorted((k, _plain(v)) for k, v in values.items())], default=str)

@@ -152,11 +152,11 @@ class Table:
         return self.transaction().add(entries).commit(ref)
 
     def _partition_values(self, spec_id: int, text: str) -> dict:
-        """The values that a plan's partition text names, in the types of the manifest."""
+        """The values that a plan's partition text names, in the types in which manifests hold them."""
         sources = {f["id"]: f["type"] for f in self.meta.schema_fields()}
         spec = next(s["fields"] for s in self.meta.raw["partition-specs"] if s["spec-id"] == spec_id)
         kinds = {p["name"]: manifests.partition_type(p["transform"], sources[p["source-id"]]) for p in spec}
-        return {k: v if v is None else planning.unplain(kinds[k], v) for k, v in json.loads(text)[1]}
+        return {k: v if v is None or kinds[k] in manifests._AVRO_TYPES else str(v) for k, v in json.loads(text)[1]}
 
     def delete_equal(self, keys: DataFrame, ref: str = "main") -> Table:
         """Equality deletes on the frame's columns, for every older row whatever its partition."""
