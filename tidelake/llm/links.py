@@ -112,11 +112,28 @@ def linked(
     two = buckets.where("n = 2").select(F.col("hub").alias("a"), F.col("top").alias("b"))
     keys = staged(buckets.where("n > 2").select("key", "hub"), "keys")
     larger = staged(looked_up(members, keys, "key"), "larger")
-    first = links_of(closest(two.union(larger.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))))
-    edges = staged(contracted(first), "edges")
-    dropped(buckets, keys, first)
-    groups = components(edges.toDF("a", "b"))
-    dropped(edges)
+
+    def merged(groups: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """The groups after the links among pairs. Each id meets one partner first; pairs that then lie in one group are done."""
+        one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = links_of(staged(one, "pairs"))
+        found = components(links) if groups is None else staged(relabelled(groups, links), "groups")
+        dropped(links)
+        apart = pairs.join(one, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            apart = looked_up(apart, found.toDF(end, f"{end}_c"), end, "left").withColumn(f"{end}_c", F.coalesce(f"{end}_c", end))
+        apart = staged(apart.where("a_c <> b_c").select("a", "b"), "pairs")
+        dropped(pairs)
+        if apart.isEmpty():
+            return found
+        links = links_of(apart)
+        following = staged(relabelled(found, staged(contracted(links).toDF("a", "b"), "links")), "groups")
+        dropped(links, found)
+        return following
+
+    first = closest(two.union(larger.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))))
+    groups = merged(None, first)
+    dropped(buckets, keys)
     fruitful = True
     for done in range(HUB_ROUNDS + 1):
         labelled = looked_up(larger, groups, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
@@ -164,7 +181,6 @@ def linked(
         x.join(y, cross & near("x_", "y_") & once).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(),
         "pairs",
     )
-    more = links_of(rest)
-    merged = staged(relabelled(groups, more), "groups")
-    dropped(larger, main, more, groups)
-    return merged
+    following = merged(groups, rest)
+    dropped(larger, main, groups)
+    return following
