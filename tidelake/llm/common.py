@@ -48,19 +48,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: With this set, Spark removes a command's shuffle files when the command is done.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is staged. Spark removes a command's shuffle files when the command is done. Arrow batches are small, as
+#: every task holds one in the JVM and one in Python: texts of some KB make tens of MB in batches of the usual size.
+WHILE_STAGED = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+}
 
 
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back. Its shuffle files go at once."""
+    """Cut the lineage: write df as a table in the shared folder and read it back. The session's settings are put back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in WHILE_STAGED}
+    for key, value in WHILE_STAGED.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
