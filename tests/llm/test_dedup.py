@@ -5,13 +5,15 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidelake.llm.exact_dedup import exact_dedup
 from tidelake.llm.line_dedup import _similar, line_dedup, line_groups, prints
 from tidelake.llm.links import components
-from tidelake.llm.near_dedup import near_dedup
+from tidelake.llm import near_dedup as near
+from tidelake.llm.near_dedup import counted, near_dedup, rarest
 
 
 def lowered(text):
@@ -98,6 +100,56 @@ def test_near_dedup_is_the_plain_version(spark, odd_docs, docs):
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == plain_near(rows)
 
 
+def test_near_dedup_compares_few_pairs_of_a_family(spark, monkeypatch):
+    """Copies of one text with one to eight words changed: most are near each other, and most of these are no links."""
+    rng, rows = random.Random(4), []
+    base = ["w%d" % rng.randrange(5000) for _ in range(150)]
+    for i in range(300):
+        own = list(base)
+        for _ in range(rng.randint(1, 8)):
+            own[rng.randrange(len(own))] = "w%d" % rng.randrange(5000)
+        rows.append((i, " ".join(own)))
+    compared, plain = [], near._confirmed
+
+    def confirmed(pairs, sets, percent):
+        compared.append(pairs.count())
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(near, "_confirmed", confirmed)
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == plain_near(rows)
+    assert sum(compared) < 1100, compared
+
+
+def test_rarest_shingles_of_links_meet(spark):
+    """Sets of any sizes that link share one of their rarest shingles at allowed places, in any order of shingles."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(1, 1 << 63, rng.integers(1, 60)).astype(np.uint64)
+        for _ in range(6):
+            own = np.concatenate([base[rng.random(len(base)) > 0.06], rng.integers(1, 1 << 63, rng.integers(0, 4)).astype(np.uint64)])
+            if len(own):
+                sets.append(np.unique(own))
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, set binary")
+    counts = counted(frame)
+    assert sum(counts.tolist()) == sum(map(len, sets))
+    for order in (counts, rng.integers(2, 60000, len(counts)).astype(np.uint16)):
+        met, keyed = set(), collections.defaultdict(list)
+        for r in rarest(frame, order, 85).collect():
+            for i, at, size in keyed[r.key]:
+                if min(size - at, r.size - r["at"]) * 185 >= 85 * (size + r.size):
+                    met.add((min(i, r.id), max(i, r.id)))
+            keyed[r.key].append((r.id, r["at"], r.size))
+        links = set()
+        for b in range(len(sets)):
+            for a in range(b):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+                    links.add((a, b))
+        assert len(links) > 100 and links <= met
+
+
 def test_near_dedup_of_repeated_ids(spark):
     words = [" ".join("w%dx%d" % (k, i) for i in range(120)) for k in range(6)]
     rows = [(1, w) for w in words[:3]] + [(10 + k, w.replace("x7 ", "y ")) for k, w in enumerate(words)] + [(None, words[0])]

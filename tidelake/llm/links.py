@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,18 @@ PER_TASK = 512
 HUB_ROUNDS, WORTH = 4, 16
 
 
+class Finer(NamedTuple):
+    """Keys that decide more sharply than buckets which ids can be a link.
+
+    ``keys``, given a staged table (id), returns a staged table (id, key, cols) in which any two of these ids that are a
+    link share a key, and ``near``, given the prefixes of the two sides' cols, holds for a link in one of its shared keys.
+    """
+
+    keys: Callable[[DataFrame], DataFrame]
+    near: Callable[[str, str], Column]
+    cols: list[str]
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with u > v that connect the same ids as (a, b), without a join: each id keeps the edge to its smallest
     partner, and its other partners become edges between partners, of which equal ones are one row."""
@@ -73,8 +86,38 @@ def relabelled(groups: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(fresh)
 
 
+def main_groups(sizes: DataFrame) -> DataFrame:
+    """(key, n, n_main, main) of each key that has several groups: its size, and its largest group. sizes: (key, component, n)."""
+    return (
+        sizes.groupBy("key")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("groups"))
+        .where("groups > 1")
+        .select("key", "n", F.col("m.n").alias("n_main"), F.col("m.component").alias("main"))
+    )
+
+
+def across(left: DataFrame, allowed: Column, cols: list[str]) -> DataFrame:
+    """Distinct pairs (a, b) of ids of one key and several groups that are allowed, a staged table.
+
+    left: (key, id, component, n, main, cols), the members of the key. Those outside of its largest group meet all others,
+    in as many tasks as the key has members.
+    """
+    parts = F.ceil(F.col("n") / PER_TASK)
+    names = ["id", "component", *cols]
+    x = left.where("component <> main").select(
+        "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *(F.col(c).alias(f"x_{c}") for c in names)
+    )
+    y = left.select(F.col("key").alias("y_key"), F.pmod(F.xxhash64("id"), parts).alias("y_part"), *(F.col(c).alias(f"y_{c}") for c in names))
+    met = x.join(y, F.expr("key = y_key AND part = y_part AND x_component <> y_component") & allowed)
+    return staged(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "pairs")
+
+
 def linked(
-    heads: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], near_cols: list[str]
+    heads: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[str, str], Column],
+    near_cols: list[str],
+    finer: Finer | None = None,
 ) -> DataFrame:
     """(id, component) of all ids that links connect. heads: a staged table (id, keys, near_cols); ids may link that share a key.
 
@@ -90,6 +133,8 @@ def linked(
        after round as long as that finds links: a group of drifting copies soon is one.
     3. All pairs left across groups have an end outside the bucket's largest group, so just these ends meet the members
        of other groups, dealt out to as many tasks as the bucket is large, and the join itself only lets near pairs out.
+       With ``finer``, members of open buckets meet by its keys in place of the buckets': a group whose members are near
+       each other without being links has few such pairs.
     """
     members = heads.select(F.explode("keys").alias("key"), "id")
     buckets = staged(
@@ -138,14 +183,7 @@ def linked(
     for done in range(HUB_ROUNDS + 1):
         labelled = looked_up(larger, groups, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
         sizes = staged(labelled.groupBy("key", "component").agg(F.count("*").alias("n")), "sizes")
-        # of each bucket that has several groups: its size, and its largest group
-        main = staged(
-            sizes.groupBy("key")
-            .agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("groups"))
-            .where("groups > 1")
-            .select("key", "n", F.col("m.n").alias("n_main"), F.col("m.component").alias("main")),
-            "main",
-        )
+        main = staged(main_groups(sizes), "main")
         dropped(sizes)
         crosses, n_open = main.agg(F.sum(F.col("n") * (F.col("n") - F.col("n_main"))), F.sum("n")).first()
         if not n_open:
@@ -167,20 +205,21 @@ def linked(
         dropped(larger, groups, main, more)
         larger, groups = following
 
-    parts = F.ceil(F.col("n") / PER_TASK)
-    extras = heads.select("id", "keys", *near_cols)
-    names = ["id", "hub", "component", "keys", *near_cols]
-    x = outside.join(extras, "id").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *(F.col(c).alias(f"x_{c}") for c in names))
-    y = left.join(extras, "id").select(
-        F.col("key").alias("y_key"), F.pmod(F.xxhash64("id"), parts).alias("y_part"), *(F.col(c).alias(f"y_{c}") for c in names)
-    )
-    # a hub has been verified against its whole bucket; a pair counts in one of the buckets that it shares
-    cross = F.expr("key = y_key AND part = y_part AND x_component <> y_component AND x_id <> x_hub AND y_id <> x_hub")
-    once = F.expr("array_min(array_intersect(x_keys, y_keys)) = key")
-    rest = staged(
-        x.join(y, cross & near("x_", "y_") & once).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(),
-        "pairs",
-    )
+    if finer is None:
+        extras = heads.select("id", "keys", *near_cols)
+        # a hub has been verified against its whole bucket; a pair counts in one of the buckets that it shares
+        allowed = F.expr("x_id <> x_hub AND y_id <> x_hub AND array_min(array_intersect(x_keys, y_keys)) = key") & near("x_", "y_")
+        rest = across(left.join(extras, "id"), allowed, ["hub", "keys", *near_cols])
+    else:
+        ends = staged(left.select("id", "component").distinct(), "ends")
+        fine = finer.keys(staged(ends.select("id"), "ids"))
+        labelled = staged(fine.join(ends, "id"), "labelled")
+        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+        finer_main = staged(main_groups(sizes), "main")
+        rest = across(looked_up(labelled, finer_main, "key"), finer.near("x_", "y_"), finer.cols)
+        dropped(fine, ends, labelled, finer_main)
+        if not rest.isEmpty():
+            rest = closest(rest)
     following = merged(groups, rest)
     dropped(larger, main, groups)
     return following

@@ -4,6 +4,8 @@ A document's 5-word shingle set gives SAMPLES MinHash samples. The first ``BANDS
 in which documents meet. All samples together are folded into an odd sketch: each sample toggles one bit of a bitmap, so equal
 samples of two documents cancel in the XOR of their sketches, and its population count estimates a high similarity
 precisely. Pairs whose estimate lies far below the threshold go; the others are confirmed on their full shingle sets.
+Where a bucket's documents are many and not one group, those that also share one of their rarest shingles are left: as
+many are taken of each set as no link can do without.
 
 At the threshold of 0.85 a pair shares no band with a chance of (1 - 0.85^4)^32 < 1e-10. The estimate is cut at 5.5
 of its standard deviations (about 0.79). Documents with equal sets are one class before all
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import dropped, map_texts, staged
-from tidelake.llm.links import linked, looked_up
+from tidelake.llm.links import Finer, linked, looked_up
 from tidelake.llm.shingles import mixed, shingle_sets
 
 BANDS, ROWS = 32, 4
 SAMPLES, SKETCH_BITS = 1024, 4096
+#: Counters from which the order of shingles by frequency is taken.
+COUNTERS = 1 << 20
 #: Members that meet one copy of a hub's text.
 PER_HUB = 64
 
@@ -148,6 +152,53 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def counted(sets: DataFrame) -> np.ndarray:
+    """How often shingles of the sets (id, set) fall on each of COUNTERS counters, at most 65,535."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            own = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(0)]
+            if own:
+                counts += np.bincount((np.concatenate(own) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(counts)
+        for k in range(0, len(at), 10_000):
+            part = at[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["at", "n"])
+
+    found = sets.select("set").mapInArrow(run, "at long, n long").groupBy("at").agg(F.least(F.sum("n"), F.lit(65535)).alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.uint16)
+    counts[found["at"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def rarest(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(id, key, at, size): the rarest shingles of each set, their places in its order and its size.
+
+    All sets are put in one order, by the counters and then by the shingles themselves. Sets that link have at least
+    ceil(percent * (size + other size) / (100 + percent)) shingles in common; the first of these stands on both sides
+    before so many places from the end. So any total order is right, and counters that several shingles share cost time only.
+    A shingle whose counter is 1 is in no other set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, at, size = [], [], [], []
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(s.as_buffer(), np.uint64)
+                n = counts[(own % np.uint64(COUNTERS)).astype(np.int64)]
+                first = np.argsort(n, kind="stable")[: len(own) - -(-percent * len(own) // 100) + 1]  # sets are sorted
+                places = np.flatnonzero(n[first] > 1)
+                ids.append(np.full(len(places), i, np.int64))
+                size.append(np.full(len(places), len(own), np.int64))
+                keys.append(own[first[places]].view(np.int64))
+                at.append(places)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, at, size)], names=["id", "key", "at", "size"])
+
+    return sets.select("id", "set").mapInArrow(run, "id long, key long, at long, size long")
+
+
 def _digest(own: np.ndarray) -> bytes:
     return hashlib.sha256(own.tobytes()).digest()[:20]
 
@@ -193,8 +244,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     dropped(classes)
     most = most_odd_bits(percent)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(id, set), a staged table, of the classes in nodes (id)."""
         wanted = staged(heads.select("id", "digest", "rep").join(nodes, "id", "left_semi"), "wanted")
         # a class is read from the rows of its smallest id; a null id's texts are looked for in all such rows
         texts = looked_up(docs.select(id_col, text_col), staged(wanted.select(F.col("rep").alias(id_col)).distinct(), "ids"), id_col, "left_semi")
@@ -202,15 +253,31 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
             texts = texts.union(docs.select(id_col, text_col).where(F.col(id_col).isNull()))
         sets = _sets(texts, id_col, text_col).withColumnRenamed("id", "rep")
         sets = staged(sets.join(wanted.select("digest", F.col("id").alias("node"), F.col("rep").alias("r")), "digest").where("rep <=> r").select(F.col("node").alias("id"), "set").dropDuplicates(["id"]), "sets", "lz4")
+        dropped(wanted)
+        return sets
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         found = staged(_confirmed(pairs, sets, percent), "confirmed")
-        dropped(wanted, sets)
+        dropped(sets)
         return found
 
+    def rare_shingles(nodes: DataFrame) -> DataFrame:
+        sets = sets_of(nodes)
+        found = staged(rarest(sets, counted(sets), percent), "rarest")
+        dropped(sets)
+        return found
+
+    def common_enough(x: str, y: str) -> Column:
+        """Both sides' places leave room for as many common shingles as a link has."""
+        x_size, y_size, x_at, y_at = (F.col(f"{side}{c}") for c in ("size", "at") for side in (x, y))
+        return F.least(x_size - x_at, y_size - y_at) * (100 + percent) >= percent * (x_size + y_size)
+
     def near(x: str, y: str) -> Column:
         """Sketches close enough."""
         return _odd_bits(f"{x}sketch", f"{y}sketch") <= most
 
-    groups = linked(heads, verify, near, ["sketch"])
+    groups = linked(heads, verify, near, ["sketch"], Finer(rare_shingles, common_enough, ["at", "size"]))
     labelled = heads.select("id", "digest", "rep").join(groups, "id", "left").select("digest", "rep", F.coalesce("component", "id").alias("c"))
     least = labelled.groupBy("c").agg(F.min("rep").alias("component_id"))
     answers = labelled.join(least, "c").select("digest", "component_id", F.lit(True).alias("linked"))
