@@ -238,6 +238,22 @@ def edited_lines(seed=5):
     return out
 
 
+def test_similar_is_edit_distance_of_long_lines(spark):
+    """Words changed, taken away and put in, at, just below and just above the allowed distance, in long and short lines."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(2, 9)))
+    cases = []
+    for n in (12, 40, 380):
+        for share in (0.05, 0.24, 0.3, 0.34):
+            words = [word() for _ in range(n)]
+            changed = [word() if rng.random() < share else w for w in words]
+            cases.append((" ".join(words), " ".join(changed)))
+            cases.append((" ".join(words), " ".join(changed[1:] + [word()])))
+    got = [r.s for r in spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a string, b string").select("k", _similar("a", "b", 80).alias("s")).orderBy("k").collect()]
+    want = [5 * distance(a, b) <= max(len(a), len(b)) for a, b in cases]
+    assert got == want and 4 < sum(want) < len(want) - 4
+
+
 def test_line_dedup_finds_edited_lines(spark):
     cases = edited_lines()
     frame = spark.createDataFrame([(2 * k + side, c[1 + side]) for k, c in enumerate(cases) for side in (0, 1)], "doc_id long, text string")
