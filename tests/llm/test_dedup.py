@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidelake.llm.exact_dedup import exact_dedup
 from tidelake.llm.line_dedup import _similar, line_dedup, line_groups, prints
 from tidelake.llm.links import components
+from tidelake.llm import links
 from tidelake.llm import near_dedup as near
 from tidelake.llm.near_dedup import counted, near_dedup, rarest
 
@@ -121,6 +122,49 @@ def test_near_dedup_compares_few_pairs_of_a_family(spark, monkeypatch):
     assert sum(compared) < 1100, compared
 
 
+def test_near_dedup_joins_few_pairs_without_their_text(spark, monkeypatch):
+    """Texts with three words changed each of one that is missing: all are near each other, and hardly any are links."""
+    rng, rows = random.Random(9), []
+    base = ["w%d" % rng.randrange(5000) for _ in range(300)]
+    for i in range(200):
+        own = list(base)
+        for at in rng.sample(range(len(own)), 3):
+            own[at] = "w%d" % rng.randrange(5000)
+        rows.append((i, " ".join(own)))
+    met, plain = [], links.across
+
+    def across(*args):
+        out = plain(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(links, "across", across)
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = plain_near(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+    assert met and sum(met) < 1000, met
+
+
+def test_set_sketches_of_links_are_close(spark):
+    """Sets just as far apart as a link allows, small and large, against the bound; of sets four times as far apart, those of 150 to 4000 beyond it."""
+    rng = np.random.default_rng(11)
+    for percent in (80, 85):
+        cases = []
+        for n in [*range(1, 60), 150, 400, 1000, 1800, 4000, 9000]:
+            apart = 2 * n * (100 - percent) // (100 + percent)
+            for gone in (apart // 2, min(n, 2 * apart)):
+                all_of = rng.integers(1, 1 << 63, n + gone).astype(np.uint64)
+                x, y = np.unique(all_of[:n]), np.unique(all_of[gone:])
+                link = 100 * (n - gone) >= percent * (n + gone)
+                bits = int(np.bitwise_count((near.set_sketch(x) ^ near.set_sketch(y)).view(np.uint64)).sum())
+                assert bits <= 2 * gone
+                cases.append((n, bits, link))
+        frame = spark.createDataFrame(cases, "n long, bits int, link boolean")
+        got = [(r.n, r.link, r.close) for r in frame.select("n", "link", (F.col("bits") <= near.most_set_bits(F.col("n"), F.col("n"), percent)).alias("close")).collect()]
+        assert all(close for _, link, close in got if link)
+        assert not any(close for n, link, close in got if not link and 150 <= n <= 4000)
+
+
 def test_rarest_shingles_of_links_meet(spark):
     """Sets of any sizes that link share one of their rarest shingles at allowed places, in any order of shingles."""
     rng = np.random.default_rng(6)
