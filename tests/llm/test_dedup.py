@@ -122,13 +122,14 @@ def test_near_dedup_compares_few_pairs_of_a_family(spark, monkeypatch):
     assert sum(compared) < 1100, compared
 
 
-def test_near_dedup_joins_few_pairs_without_their_text(spark, monkeypatch):
-    """Texts with three words changed each of one that is missing: all are near each other, and hardly any are links."""
+@pytest.mark.parametrize(("percent", "changed"), [(85, 3), (80, 4)])
+def test_near_dedup_joins_few_pairs_without_their_text(spark, monkeypatch, percent, changed):
+    """Texts with a few words changed each of one that is missing: all are near each other, and hardly any are links."""
     rng, rows = random.Random(9), []
     base = ["w%d" % rng.randrange(5000) for _ in range(300)]
     for i in range(200):
         own = list(base)
-        for at in rng.sample(range(len(own)), 3):
+        for at in rng.sample(range(len(own)), changed):
             own[at] = "w%d" % rng.randrange(5000)
         rows.append((i, " ".join(own)))
     met, plain = [], links.across
@@ -139,8 +140,8 @@ def test_near_dedup_joins_few_pairs_without_their_text(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(links, "across", across)
-    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = plain_near(rows)
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+    want = plain_near(rows, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
     assert met and sum(met) < 1000, met
 
