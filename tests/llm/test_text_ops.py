@@ -40,6 +40,42 @@ def test_pieces_are_the_librarys():
         assert c.decode([1, *ids, 2]) == sp.decode([1, *ids, 2])
 
 
+def test_new_words_are_encoded_together(docs, monkeypatch):
+    import sentencepiece
+
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=PIECES), PieceCodec(PIECES, cache=3000)
+    texts = [*random_texts(1500, 2), "a" * 3000, " " * 999 + "x", "x" * 64 + " " + "x" * 65, "", "\n", *(r.text or "" for r in docs.limit(100).collect())]
+    alone, word_bytes = [], PieceCodec.word_bytes
+    monkeypatch.setattr(PieceCodec, "word_bytes", lambda self, word: alone.append(word) or word_bytes(self, word))
+    monkeypatch.setattr("tidelake.llm.piece_codec.TEXTS_AT_ONCE", 20_000)
+    monkeypatch.setattr("tidelake.llm.piece_codec.AT_ONCE", 5000)
+    for text, x in zip(texts, c.encode_all(texts), strict=True):
+        assert array("I", x).tolist() == sp.encode(text), text
+    # those encoded one by one are long or hold several space marks together
+    assert alone and all(len(word) > 64 or "▁▁" in word for word in alone)
+
+
+def test_round_trip_encodes_few_words_one_by_one(docs, monkeypatch):
+    c = PieceCodec(PIECES)
+    monkeypatch.setattr("tidelake.llm.piece_ops.codec", lambda path: c)
+    monkeypatch.setattr("tidelake.llm.piece_ops.map_texts", lambda docs, i, t, rows, schema: _Mapped(docs, rows))
+    alone, word_ids = [], PieceCodec.word_ids
+    monkeypatch.setattr(PieceCodec, "word_ids", lambda self, word: alone.append(word) or word_ids(self, word))
+    round_trip(docs.limit(100), PIECES)
+    assert len(c.words) > 5000 and len(alone) < len(c.words) // 50
+
+
+class _Mapped:
+    """What round_trip's function makes of all rows, in this process."""
+
+    def __init__(self, docs, rows):
+        found = docs.collect()
+        self.out = rows()([r.doc_id for r in found], [(r.text or "").encode() for r in found])
+
+    def withColumnRenamed(self, *_):  # noqa: N802
+        return self.out
+
+
 def test_words_are_the_librarys():
     e = WordEncoder(WORDS, cache=300)
     for text in random_texts(1500, 2):

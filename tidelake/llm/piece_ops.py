@@ -19,10 +19,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         c = codec(path)
 
         def of(ids, texts):
-            return {
-                "id": ids,
-                "ids": [[c.begin, *array("I", c.encode(t.decode("utf-8", "replace"))), c.end] for t in texts],
-            }
+            coded = c.encode_all([t.decode("utf-8", "replace") for t in texts])
+            return {"id": ids, "ids": [[c.begin, *array("I", x), c.end] for x in coded]}
 
         return of
 
@@ -50,7 +48,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         begin, end = c.begin.to_bytes(4, "little"), c.end.to_bytes(4, "little")
 
         def of(ids, texts):
-            coded = [begin + c.encode(t.decode("utf-8", "replace")) + end for t in texts]
+            coded = [begin + x + end for x in c.encode_all([t.decode("utf-8", "replace") for t in texts])]
             back = [c.decode(array("I", x).tolist()).encode() for x in coded]
             return {
                 "id": ids,
