@@ -82,6 +82,19 @@ def test_words_are_the_librarys():
         assert array("I", e.ids(text.encode())).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_several_texts_are_learned_together(monkeypatch):
+    e, calls, learn = WordEncoder(WORDS, cache=400), [], WordEncoder._learn
+    monkeypatch.setattr(WordEncoder, "_learn", lambda self, words: calls.append(len(words)) or learn(self, words))
+    texts = [*random_texts(1500, 3), "", " ", "The the THE the, Straße, naïve..", "word " * 500]
+    for text, x in zip(texts, e.all_ids([t.encode() for t in texts]), strict=True):
+        assert array("I", x).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert len(calls) == 1
+    monkeypatch.setattr("tidelake.llm.tokenizers_io.TEXTS_AT_ONCE", 2000)
+    f = WordEncoder(WORDS, cache=400)
+    again = f.all_ids([t.encode() for t in texts])
+    assert len(calls) > 2 and again == [f.ids(t.encode()) for t in texts]
+
+
 def test_round_trip(odd_docs, no_docs):
     import sentencepiece
 

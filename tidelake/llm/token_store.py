@@ -39,18 +39,34 @@ SENT_CHUNKS = 200_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
+def _hashed(ids: np.ndarray) -> np.ndarray:
+    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+#: Hashes of the ids that fit into 16 bits.
+_SMALL = _hashed(np.arange(1 << 16))
+
+
+def _hashes(ids: np.ndarray) -> np.ndarray:
+    return _SMALL[ids] if int(ids.max()) < len(_SMALL) else _hashed(ids)
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks: where the hash of the last WINDOW ids has its low bits clear, at the latest after LONGEST."""
     n = len(ids)
     if n <= WINDOW:
         return [n] if n else []
-    with np.errstate(over="ignore"):
-        x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER)
-        x ^= x >> np.uint64(29)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
-        rolled = total[WINDOW:] - total[:-WINDOW]
-        rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    found = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
+    # sums of WINDOW ids' hashes; unsigned, so that they wrap around
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_hashes(ids), out=total[1:])
+    rolled = total[WINDOW:] - total[:-WINDOW]
+    rolled ^= rolled >> np.uint64(31)
+    rolled *= np.uint64(0xBF58476D1CE4E5B9)
+    rolled &= np.uint64(MASK << 40)
+    found = np.flatnonzero(rolled == 0) + WINDOW
     ends, at = [], 0
     for end in [*found.tolist(), n]:
         while end - at > LONGEST:
@@ -137,14 +153,14 @@ def _chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
         import zstandard
         from pyspark import TaskContext
 
-        encode, compress = encoder(path).ids, zstandard.ZstdCompressor(level=1).compress
+        encode, compress = encoder(path).all_ids, zstandard.ZstdCompressor(level=1).compress
         last, seen = np.array([end_id], "<u4").tobytes(), set()
         row = count(TaskContext.get().partitionId() << 33)
 
         def of(ids, texts):
             out = {"id": ids, "row": [next(row) for _ in ids], "n_tokens": [], "digests": [], "sizes": [], "payloads": []}
-            for t in texts:
-                data = encode(t) + last
+            for data in encode(texts):
+                data += last
                 array = np.frombuffer(data, "<u4")
                 at, digests, sizes, payloads = 0, [], [], []
                 for end in cuts(array):

@@ -14,6 +14,8 @@ import numpy as np
 
 #: Never part of a pre-token with letters, so an ending of these is encoded apart from the letters before it.
 ENDING = b".,!*$#%&?;:"
+#: Texts are taken until they have so many bytes.
+TEXTS_AT_ONCE = 1_000_000
 #: Lower-case letters that normalisation leaves alone; only words of these go straight to the merges.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
@@ -40,6 +42,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
         self.letters = str.maketrans(_byte_letters())
+        self.four = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.cache, self.new, self.old, self.cores, self.endings = cache, {}, {}, {}, {}
 
     def _library(self, words: list[bytes]) -> list[bytes]:
@@ -47,8 +50,8 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def _core(self, core: bytes) -> bytes:
-        plain = core.decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merges(plain)])
+        four = self.four
+        return b"".join([four[t.id] for t in self.merges(core.decode("latin-1").translate(self.letters))])
 
     def _learn(self, words: list[bytes]) -> None:
         new, cores, endings, rest = self.new, self.cores, self.endings, []
@@ -56,39 +59,53 @@ class WordEncoder:
             cores.clear()
         if len(endings) > 10_000:
             endings.clear()
-        for w in words:
-            core = w.rstrip(ENDING)
-            ending = w[len(core) :]
-            core = core.lower()
-            known = cores.get(core)
+        stripped = [w.rstrip(ENDING) for w in words]
+        lower = list(map(bytes.lower, stripped))
+        for core in set(lower):
+            if core and core not in cores and (core.isalpha() or _PLAIN.fullmatch(core.decode("utf-8", "replace"))):
+                cores[core] = self._core(core)
+        for w, core, known in zip(words, stripped, map(cores.get, lower), strict=True):
             if known is None:
-                if not core or not (core.isalpha() or _PLAIN.fullmatch(core.decode("utf-8", "replace"))):
-                    rest.append(w)
-                    continue
-                known = cores[core] = self._core(core)
-            if ending and ending not in endings:
-                endings[ending] = self._library([ending])[0]
-            new[w] = known + endings[ending] if ending else known
+                rest.append(w)
+            elif len(core) == len(w):
+                new[w] = known
+            else:
+                ending = w[len(core) :]
+                if ending not in endings:
+                    endings[ending] = self._library([ending])[0]
+                new[w] = known + endings[ending]
         if rest:
             new.update(zip(rest, self._library(rest), strict=True))
 
-    def _ready(self, words: list[bytes]) -> None:
+    def _ready(self, distinct: set[bytes]) -> None:
         """Afterwards every word is in the newer generation."""
-        distinct = set(words)
-        if missing := [w for w in distinct if w not in self.new]:
+        if missing := distinct.difference(self.new):
             if len(self.new) + len(missing) > self.cache:
                 self.old, self.new = self.new, {}
                 missing = distinct
             old = self.old
-            self.new.update((w, old[w]) for w in missing if w in old)
-            if unknown := [w for w in missing if w not in old]:
+            self.new.update([(w, old[w]) for w in missing if w in old])
+            if unknown := list(missing.difference(old)):
                 self._learn(unknown)
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        self._ready(words)
-        return b"".join(map(self.new.__getitem__, words))
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[bytes]) -> list[bytes]:
+        """``ids`` of each text; words of several texts are looked up and learned together."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(text.split())
+            size += len(text)
+            if size > TEXTS_AT_ONCE:
+                out += self._joined(group)
+                group, size = [], 0
+        return out + self._joined(group)
+
+    def _joined(self, texts: list[list[bytes]]) -> list[bytes]:
+        self._ready(set().union(*texts))
+        return [b"".join(map(self.new.__getitem__, words)) for words in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
