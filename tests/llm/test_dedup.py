@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelake.llm.exact_dedup import exact_dedup
-from tidelake.llm.line_dedup import _similar, line_dedup, line_groups, prints
+from tidelake.llm.line_dedup import _similar, aligned, line_dedup, line_groups, prints
 from tidelake.llm.links import components
 from tidelake.llm import links
 from tidelake.llm import near_dedup as near
@@ -299,6 +299,27 @@ def test_similar_is_edit_distance_of_long_lines(spark):
     assert got == want and 4 < sum(want) < len(want) - 4
 
 
+def test_aligned_pieces_bound_the_edit_distance(spark):
+    """Never below the distance; within the limit for nearly all lines with words put in, taken away and changed, of any length."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqé") for _ in range(rng.randint(2, 11)))
+    cases = [("", ""), ("a", ""), ("same words", "same words"), ("x" * 300, "x" * 301)]
+    for n in (5, 30, 90, 150):
+        for share in (0.02, 0.08, 0.3):
+            for _ in range(6):
+                words, new = [word() for _ in range(n)], []
+                for w in words:
+                    kind = rng.random() / share
+                    new += [w] if kind > 1 else [] if kind > 0.66 else [word()] if kind > 0.33 else [w, word()]
+                cases.append((" ".join(words), " ".join(new)))
+    frame = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a string, b string")
+    got = [r.d for r in frame.select("k", F.expr(aligned("a", "b")).alias("d")).orderBy("k").collect()]
+    want = [distance(a, b) for a, b in cases]
+    assert all(g >= w for g, w in zip(got, want, strict=True))
+    links = [5 * g <= max(len(a), len(b)) for g, w, (a, b) in zip(got, want, cases, strict=True) if 5 * w <= max(len(a), len(b)) >= 150]
+    assert len(links) > 30 and sum(links) >= 0.9 * len(links)
+
+
 def test_line_dedup_finds_edited_lines(spark):
     cases = edited_lines()
     frame = spark.createDataFrame([(2 * k + side, c[1 + side]) for k, c in enumerate(cases) for side in (0, 1)], "doc_id long, text string")
