@@ -95,6 +95,24 @@ def test_words_of_several_texts_are_learned_together(monkeypatch):
     assert len(calls) > 2 and again == [f.ids(t.encode()) for t in texts]
 
 
+def test_words_in_capitals_are_learned_once(monkeypatch):
+    e, learned, learn = WordEncoder(WORDS), [], WordEncoder._learn
+    monkeypatch.setattr(WordEncoder, "_learn", lambda self, words: learned.extend(words) or learn(self, words))
+    assert e.ids(b"The THE the tHe") == 4 * e.ids(b"the") and learned == [b"the"]
+    # what is no special token in capitals, and letters that have an accented form in lower case only
+    odd = ["<|ENDOFTEXT|>", "x<|EndOfText|> A", "<|endoftext|>B", "W\u030a w\u030a", "T\u0308 H\u0331 I\u0307 \u0130", " \x0b\x0cA\x1cB\x85C \n", "ΑΣ AΣ", "\u212aK"]
+    for text, x in zip(odd, e.all_ids([t.encode() for t in odd]), strict=True):
+        assert array("I", x).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_crc_joins_with_few_maps():
+    rng, join = random.Random(4), token_store.CrcJoin()
+    for _ in range(40):
+        parts = [rng.randbytes(4 * rng.randint(17, 8192)) for _ in range(rng.randint(1, 12))] + [b"\0" * 512]
+        assert join.joined([(zlib.crc32(x), len(x)) for x in parts]) == zlib.crc32(b"".join(parts))
+    assert len(join.shifts) < 200
+
+
 def test_round_trip(odd_docs, no_docs):
     import sentencepiece
 

@@ -19,8 +19,8 @@ def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """(id_col, n_tokens) of every whole text; null and empty texts have 0."""
 
     def rows():
-        encode = encoder(path).ids
-        return lambda ids, texts: {"id": ids, "n_tokens": [len(encode(t)) // 4 for t in texts]}
+        encode = encoder(path).all_ids
+        return lambda ids, texts: {"id": ids, "n_tokens": [len(x) // 4 for x in encode(texts)]}
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_texts(docs, id_col, text_col, rows, f"id {kind}, n_tokens long").withColumnRenamed("id", id_col)

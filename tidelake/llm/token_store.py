@@ -132,7 +132,11 @@ class CrcJoin:
         """parts: crc32 and length in bytes of each."""
         crc = 0
         for c, n in parts:
-            crc = _times(self.shift(n), crc) ^ c
+            # in two steps, so that there are few maps for lengths of some KB; a crc of 0 stays as it is
+            for step in (n & ~511, n & 511):
+                if crc and step:
+                    crc = _times(self.shift(step), crc)
+            crc ^= c
         return crc
 
 
@@ -286,7 +290,7 @@ def chunk_sums(spark: SparkSession, folder: str) -> DataFrame:
         decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             crcs = []
-            for digest, n, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for digest, n, payload in zip(*(batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(3)), strict=True):
                 data = unpacked(payload, decompress)
                 if hashlib.sha256(data).digest() != digest or len(data) != 4 * n:
                     raise ValueError(f"a stored chunk differs from its name {digest.hex()}")

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Never part of a pre-token with letters, so an ending of these is encoded apart from the letters before it.
 ENDING = b".,!*$#%&?;:"
@@ -18,6 +21,8 @@ ENDING = b".,!*$#%&?;:"
 TEXTS_AT_ONCE = 1_000_000
 #: Lower-case letters that normalisation leaves alone; only words of these go straight to the merges.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Parts of special tokens, and the first bytes of accents that normalisation joins with the letter before (U+0300 to U+037F).
+_NOT_LOWERED = (b"<|", b"\xcc", b"\xcd")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,7 +56,9 @@ class WordEncoder:
 
     def _core(self, core: bytes) -> bytes:
         four = self.four
-        return b"".join([four[t.id] for t in self.merges(core.decode("latin-1").translate(self.letters))])
+        # ASCII letters stand for themselves
+        letters = core.decode() if core.isascii() else core.decode("latin-1").translate(self.letters)
+        return b"".join([four[t.id] for t in self.merges(letters)])
 
     def _learn(self, words: list[bytes]) -> None:
         new, cores, endings, rest = self.new, self.cores, self.endings, []
@@ -59,15 +66,16 @@ class WordEncoder:
             cores.clear()
         if len(endings) > 10_000:
             endings.clear()
-        stripped = [w.rstrip(ENDING) for w in words]
-        lower = list(map(bytes.lower, stripped))
-        for core in set(lower):
-            if core and core not in cores and (core.isalpha() or _PLAIN.fullmatch(core.decode("utf-8", "replace"))):
-                cores[core] = self._core(core)
-        for w, core, known in zip(words, stripped, map(cores.get, lower), strict=True):
+        for w in words:
+            core = w.rstrip(ENDING)
+            lower = core.lower()
+            known = cores.get(lower)
             if known is None:
-                rest.append(w)
-            elif len(core) == len(w):
+                if not (core and (core.isalpha() or _PLAIN.fullmatch(lower.decode("utf-8", "replace")))):
+                    rest.append(w)
+                    continue
+                known = cores[lower] = self._core(lower)
+            if len(core) == len(w):
                 new[w] = known
             else:
                 ending = w[len(core) :]
@@ -77,16 +85,19 @@ class WordEncoder:
         if rest:
             new.update(zip(rest, self._library(rest), strict=True))
 
-    def _ready(self, distinct: set[bytes]) -> None:
-        """Afterwards every word is in the newer generation."""
-        if missing := distinct.difference(self.new):
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these distinct words."""
+        ids = list(map(self.new.get, words))
+        if missing := [w for w, known in zip(words, ids, strict=True) if known is None]:
             if len(self.new) + len(missing) > self.cache:
                 self.old, self.new = self.new, {}
-                missing = distinct
             old = self.old
             self.new.update([(w, old[w]) for w in missing if w in old])
-            if unknown := list(missing.difference(old)):
+            if unknown := [w for w in missing if w not in old]:
                 self._learn(unknown)
+            new = self.new
+            ids = [new[w] if known is None else known for w, known in zip(words, ids, strict=True)]
+        return ids
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -96,16 +107,29 @@ class WordEncoder:
         """``ids`` of each text; words of several texts are looked up and learned together."""
         out, group, size = [], [], 0
         for text in texts:
-            group.append(text.split())
+            # as normalisation would do later; not before special tokens are found and capitals joined with their accents
+            group.append(text if any(map(text.__contains__, _NOT_LOWERED)) else text.lower())
             size += len(text)
             if size > TEXTS_AT_ONCE:
                 out += self._joined(group)
                 group, size = [], 0
         return out + self._joined(group)
 
-    def _joined(self, texts: list[list[bytes]]) -> list[bytes]:
-        self._ready(set().union(*texts))
-        return [b"".join(map(self.new.__getitem__, words)) for words in texts]
+    def _joined(self, texts: list[bytes]) -> list[bytes]:
+        """Words are numbered in Arrow, so that only distinct ones are looked up one by one."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        numbered = split.values.view(pa.binary()).dictionary_encode()
+        ids = self._known(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # the ids of word k are those from starts[k] on, lengths[k] of them
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lengths) - lengths
+        number = numbered.indices.to_numpy()
+        each = lengths[number]
+        ends = np.zeros(len(number) + 1, np.int64)
+        np.cumsum(each, out=ends[1:])
+        data = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[number] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [data[x:y] for x, y in pairwise(at)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
