@@ -274,6 +274,22 @@ def test_partitioned_table(spark, tmp_path):
     assert tools.validate_files(t4, {"max_delete_files": 0, "max_data_files": 99}) and not tools.validate_files(t4, {"max_data_files": 99})
 
 
+@pytest.mark.parametrize("spec", [[], [("b", "identity"), ("c", "truncate[2]")]])
+def test_entries_are_counted_without_a_sort(spark, tmp_path, monkeypatch, spec):
+    """Bounds of strings need no sort of all rows: a task's memory then grows with its files, not with their rows."""
+    plans, kind = [], type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    rows = frame(spark).union(spark.sql("SELECT NULL AS a, 4 AS b, NULL AS c"))
+    t = Table.create(spark, f"{tmp_path}/e", rows.schema, spec).append(rows)
+    assert plans and all("SortAggregate" not in p and "ObjectHashAggregate" in p for p in plans)
+    monkeypatch.undo()
+    sizes = dict(files.listed(spark, f"{tmp_path}/e/data"))
+    entries = [r["data_file"] for m in manifests.read_list(files.read_bytes(spark, t.meta.snapshot()["manifest-list"])) for r in manifests.read_manifest(files.read_bytes(spark, m["manifest_path"]))]
+    assert min(dict(e["lower_bounds"])[3] for e in entries if 3 in dict(e["lower_bounds"])) == b"x0"
+    assert sum(e["record_count"] for e in entries) == 101 and {e["file_size_in_bytes"] for e in entries} <= set(sizes.values())
+
+
 def test_positional_deletes_of_a_partitioned_table(spark, tmp_path):
     rows = spark.sql("SELECT id AS a, CAST(id % 5 AS INT) AS b, CAST(id % 3 AS DECIMAL(5, 2)) AS d, CAST(id % 2 AS STRING) AS x FROM range(100)")
     t = Table.create(spark, f"{tmp_path}/p", rows.schema, [("b", "identity"), ("d", "identity"), ("x", "identity")]).append(rows)

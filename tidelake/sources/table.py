@@ -92,7 +92,8 @@ class Table:
         measured = [f for f in plain if f.name in ids and isinstance(ids[f.name][1], str) and not isinstance(f.dataType, (T.BinaryType, T.ArrayType))]
         schema = T.StructType([*plain, *(T.StructField(p, df.schema[p].dataType) for p in parts)])
         raw = self.spark.read.schema(schema).parquet(folder)
-        aggs = [F.count("*").alias("n"), F.max("_size").alias("size"), *(F.first(p).alias(p) for p in parts)]
+        # a set among the aggregates makes Spark hash the files; for bounds of strings it would sort all rows by their path
+        aggs = [F.count("*").alias("n"), F.get(F.collect_set("_size"), F.lit(0)).alias("size"), *(F.first(p).alias(p) for p in parts)]
         for i, f in enumerate(measured):
             aggs += [F.min(f.name).alias(f"lo_{i}"), F.max(f.name).alias(f"hi_{i}"), F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"null_{i}")]
         rows = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size")).groupBy("_path").agg(*aggs).collect()
