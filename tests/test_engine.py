@@ -301,6 +301,24 @@ def test_positional_deletes_of_a_partitioned_table(spark, tmp_path):
     assert v.delete_positions(at.where("false")).read().count() == 98
 
 
+def test_joins_of_deletes_carry_no_names(spark, tmp_path, monkeypatch):
+    """Rows meet deletes by the numbers of their files and partitions, on both sides; paths of files stay out of the joins."""
+    seen, kinds = [], {name: getattr(deletes, name) for name in ("positional", "deletion_vectors", "equality_sets")}
+    for name, of in kinds.items():
+        monkeypatch.setattr(deletes, name, lambda df, gone, of=of: seen.append((df, gone)) or of(df, gone))
+    rows = frame(spark)
+    t = Table.create(spark, f"{tmp_path}/n", rows.schema, [("c", "truncate[2]"), ("b", "identity")]).append(rows)
+    u = t.delete_positions(spark.read.parquet(*[r.file_path for r in t.plan().collect()]).where("a IN (3, 8)").select(F.col("_metadata.file_path"), F.col("_metadata.row_index").alias("pos")))
+    w = Table.create(spark, f"{tmp_path}/v", rows.schema).append(rows.coalesce(1))
+    assert {r.a for r in u.delete_equal(spark.sql("SELECT 7L AS a")).append(rows.where("a = 8")).read(["a"]).collect()} == set(range(100)) - {3, 7}
+    assert w.delete_vector(w.plan().first().file_path, [1, 2]).read(["a"]).count() == 98
+    sides = [x for df, gone in seen for x in (df, *([f for _, f in gone] if isinstance(gone, list) else [gone]))]
+    assert len(sides) == 6
+    for side in sides:
+        for c in {"_file", "_partition", "file_path", "partition"} & set(side.columns):
+            assert side.select(F.max(F.length(c))).first()[0] in (None, 1, 2), c
+
+
 def test_positional_and_vector_deletes(spark, tmp_path):
     t = Table.create(spark, f"{tmp_path}/two", frame(spark).schema).append(frame(spark).coalesce(1))
     path = t.plan().first().file_path

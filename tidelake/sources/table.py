@@ -229,19 +229,25 @@ class Table:
         return S.read_by_id(self.spark, self.schema, paths)
 
     def _deleted(self, df: DataFrame, tasks: list, plan: DataFrame) -> DataFrame:
-        df = df.select("*", F.col("_metadata.file_path").alias(deletes.FILE), F.col("_metadata.row_index").alias(deletes.POS))
-        rows = [(planning.normal(t.file_path), t.seq, t.partition) for t in tasks]
-        known = self.spark.createDataFrame(rows, "p string, _seq long, _partition string")
-        df = df.join(F.broadcast(known), deletes.normal_path(F.col(deletes.FILE)) == F.col("p")).drop("p")
-        vectors = [(t.file_path, t.vector.seq, roaring.read_vector_blob(files.read_range(self.spark, t.vector.path, t.vector.content_offset, t.vector.content_size)).tolist()) for t in tasks if t.vector]
+        """Rows that the tasks' deletes leave. Joins know files and partitions by number: names would fill their memory."""
+        numbers, parts = {planning.normal(p): str(i) for i, p in enumerate(sorted({t.file_path for t in tasks}))}, {}
+        part = lambda text: None if text is None else parts.setdefault(text, str(len(parts)))
+        df = df.select("*", F.col("_metadata.file_path").alias("_file_name"), F.col("_metadata.row_index").alias(deletes.POS))
+        rows = [(planning.normal(t.file_path), numbers[planning.normal(t.file_path)], t.seq, part(t.partition)) for t in tasks]
+        known = self.spark.createDataFrame(rows, f"p string, {deletes.FILE} string, {deletes.SEQ} long, {deletes.PART} string")
+        df = df.join(F.broadcast(known), deletes.normal_path(F.col("_file_name")) == F.col("p")).drop("p", "_file_name")
+        vectors = [(numbers[planning.normal(t.file_path)], t.vector.seq, roaring.read_vector_blob(files.read_range(self.spark, t.vector.path, t.vector.content_offset, t.vector.content_size)).tolist()) for t in tasks if t.vector]
         if vectors:
             df = deletes.deletion_vectors(df, self.spark.createDataFrame(vectors, "file_path string, seq long, positions array<long>"))
         pos = sorted({p for t in tasks for p in t.positional or []})
         info = {planning.normal(r.file_path): r for r in plan.where("content > 0").select("file_path", "seq", "partition", "unpartitioned").collect()} if pos or any(t.equality for t in tasks) else {}
         if pos:
-            layers = self.spark.createDataFrame([(p, r.seq, r.partition) for p, r in info.items()], "f string, seq long, partition string")
+            layers = self.spark.createDataFrame([(p, r.seq, part(r.partition)) for p, r in info.items()], "f string, seq long, partition string")
             raw = self.spark.read.schema("file_path string, pos long").parquet(*pos).select("*", deletes.normal_path(F.col("_metadata.file_path")).alias("f"))
-            df = deletes.positional(df, raw.join(F.broadcast(layers), "f").select("file_path", "pos", "seq", "partition"))
+            # positions of files that aren't read delete nothing
+            named = self.spark.createDataFrame(list(numbers.items()), "p string, number string")
+            raw = raw.join(F.broadcast(layers), "f").join(F.broadcast(named), deletes.normal_path(F.col("file_path")) == F.col("p"))
+            df = deletes.positional(df, raw.select(F.col("number").alias("file_path"), "pos", "seq", "partition"))
         by_id = {f["id"]: f["name"] for f in self.meta.schema_fields()}
         sets: dict[tuple[str, ...], set[str]] = {}
         for t in tasks:
@@ -249,7 +255,7 @@ class Table:
                 sets.setdefault(tuple(by_id[i] for i in e.equality_ids), set()).add(e.d_file)
         frames = []
         for keys, paths in sets.items():
-            layers = self.spark.createDataFrame([(p, r.seq, None if r.unpartitioned else r.partition) for p, r in info.items()], "f string, seq long, partition string")
+            layers = self.spark.createDataFrame([(p, r.seq, None if r.unpartitioned else part(r.partition)) for p, r in info.items()], "f string, seq long, partition string")
             wanted = T.StructType([self.schema[k] for k in keys])
             raw = S.read_by_id(self.spark, wanted, sorted(paths)).select("*", deletes.normal_path(F.col("_metadata.file_path")).alias("f"))
             frames.append((keys, raw.join(F.broadcast(layers), "f").drop("f")))
